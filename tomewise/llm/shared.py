@@ -88,12 +88,12 @@ class Words:
     start, end: byte places in buf; first: the first word of each text, with the total at the end.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, space: np.ndarray = _SPACE):
         joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         self.buf = _LOWER[joined] if lower else joined
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.at = np.concatenate([[0], np.cumsum(lengths)])
-        inside = ~_SPACE[self.buf]
+        inside = ~space[self.buf]
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.at)
