@@ -64,7 +64,7 @@ class Codec:
         self.size = 0
 
     def encode(self, text: bytes) -> list[int]:
-        if self.fast and (text.isascii() or max(text) < 0xC9) and SPECIAL not in text:
+        if self.fast and (text.isascii() or np.frombuffer(text, np.uint8).max() < 0xC9) and SPECIAL not in text:
             return self.fast.encode_ordinary(text.decode())
         return self.slow.encode(text.decode(), add_special_tokens=False).ids
 
