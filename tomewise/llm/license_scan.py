@@ -93,8 +93,8 @@ def oracle(table: str = "documents", templates=TEMPLATES) -> str:
     given = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates)
     between = r"[\x00-/:-`{-\x7f]+"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    split = lambda c: f"list_filter(regexp_split_to_array({lower.format(c)}, '{between}'), x -> x <> '')"
-    cut = f"list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), i -> array_to_string(w[i:i + {SHINGLE - 1}], ' ')))"
+    split = lambda c: f"list_filter(regexp_split_to_array({lower.format(c)}, '{between}'), lambda x: x <> '')"
+    cut = f"list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))"
     return f"""
     WITH t(license, notice) AS (VALUES {given}),
     ts AS (SELECT license, {cut} AS s FROM (SELECT license, {split('notice')} AS w FROM t)),
