@@ -35,11 +35,11 @@ GROUPS = 128  # coordinates of a point
 MAX_HEAVY = 1 << 22  # a token is heavy from max(16, tokens counted / MAX_HEAVY) occurrences, which bounds their number
 HOT = 4096  # heavier tokens go through SQL, whose sums are combined before the shuffle
 SPLIT = 4096  # members of a block that one task takes
-FLUSH = 1 << 21  # tokens that a task holds before it writes them to its buckets
+FLUSH = 1 << 20  # tokens that a task holds before it writes them to its buckets
 LEAF = 16  # points in a leaf of the R-tree
 
-FIRST = "kind int, doc_id long, n int, fp long, bucket int, blob binary"
-SECOND = "kind int, doc_id long, n int, fp long, bucket int, tokens binary, nodes binary, hot array<long>"
+FIRST = "kind int, doc_id long, n int, fp long, point binary, bucket int, blob binary"
+SECOND = "kind int, fp long, hot array<long>, bucket int, tokens binary, nodes binary"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -56,8 +56,25 @@ def fingerprint(s: np.ndarray) -> int:
     return int(shared.mix(both).view(np.int64)[0])
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def point(s: np.ndarray) -> bytes:
+    """The counts of a set's groups in the least width that holds them all."""
+    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def points_of(blobs) -> np.ndarray:
+    return np.stack([np.frombuffer(b, f"<u{len(b) // GROUPS}") for b in blobs]).astype(np.int64)
+
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Ascending numbers as differences, byte plane by byte plane, so that compression finds the empty planes."""
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(blob: bytes, width: int) -> np.ndarray:
+    planes = np.zeros((8, len(blob) // width), np.uint8)
+    planes[:width] = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel())
 
 
 def prefix_length(n: int) -> int:
@@ -78,7 +95,7 @@ def _first_pass(bits: int):
         bucket, blob = [], []
         for b, part in split_by_bucket((low >> np.uint64(40 - bits)).astype(np.int64), low):
             bucket.append(b)
-            blob.append((part & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+            blob.append(packed(part & np.uint64((1 << 40 - bits) - 1), 4))
         return rows(schema, kind=[1] * len(bucket), bucket=bucket, blob=blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,18 +103,20 @@ def _first_pass(bits: int):
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
             for piece, texts in chunks(batch):
-                n, fp = [], []
+                n, fp, points = [], [], []
                 for s in shingle_sets(Words(texts)):
                     n.append(len(s))
                     fp.append(fingerprint(s))
-                    if len(s) and fp[-1] not in seen:
+                    new = len(s) > 0 and fp[-1] not in seen
+                    points.append(point(s) if new else None)
+                    if new:
                         seen.add(fp[-1])
                         held.append(s[: (len(s) + 1) // 2])
                         size += len(held[-1])
                         if size >= FLUSH:
                             yield flush(held)
                             held, size = [], 0
-                yield rows(schema, kind=[0] * len(n), doc_id=ids[piece], n=n, fp=fp)
+                yield rows(schema, kind=[0] * len(n), doc_id=ids[piece], n=n, fp=fp, point=points)
         if held:
             yield flush(held)
 
@@ -106,7 +125,7 @@ def _first_pass(bits: int):
 
 def _heavy(least: int, bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in pdf["blob"]]))
+        low = np.sort(np.concatenate([unpacked(b, 4) for b in pdf["blob"]]))
         cut = np.flatnonzero(np.diff(low)) + 1
         begin = np.concatenate([[0], cut])
         count = np.diff(np.concatenate([begin, [len(low)]]))
@@ -121,12 +140,14 @@ def _second_pass(heavy, bits: int):
     schema = _arrow(SECOND)
 
     def flush(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        tokens = np.concatenate([t for t, _ in held])
+        tokens = np.concatenate([t for t, _ in held]) >> np.uint64(16)
         nodes = np.repeat(np.array([f for _, f in held], dtype="<i8"), [len(t) for t, _ in held])
+        order = np.argsort(tokens)
+        tokens, nodes = tokens[order], nodes[order]
         bucket, a, b = [], [], []
-        for k, t, f in split_by_bucket((tokens >> np.uint64(64 - bits)).astype(np.int64), tokens, nodes):
+        for k, t, f in split_by_bucket((tokens >> np.uint64(48 - bits)).astype(np.int64), tokens, nodes):
             bucket.append(k)
-            a.append(t.astype("<u8").tobytes())
+            a.append(packed(t & np.uint64((1 << 48 - bits) - 1), 5))
             b.append(f.tobytes())
         return rows(schema, kind=[1] * len(bucket), bucket=bucket, tokens=a, nodes=b)
 
@@ -134,12 +155,12 @@ def _second_pass(heavy, bits: int):
         keys, counts = heavy.value
         held, size, seen = [], 0, set()
         for batch in batches:
-            ids = column(batch, "doc_id").to_pylist()
+            known = column(batch, "doc_id").is_valid().to_pylist()
             for piece, texts in chunks(batch):
-                out = {k: [] for k in ("kind", "doc_id", "n", "fp", "tokens", "hot")}
+                fps, hot = [], []
                 for i, s in enumerate(shingle_sets(Words(texts)), piece.start):
                     fp = fingerprint(s)
-                    if not len(s) or fp in seen or ids[i] is None:
+                    if not len(s) or fp in seen or not known[i]:
                         continue
                     seen.add(fp)
                     key = (s >> np.uint64(24)).astype(np.int64)
@@ -147,36 +168,39 @@ def _second_pass(heavy, bits: int):
                     weight = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(len(s), np.int64)
                     order = np.argsort(weight, kind="stable")[: prefix_length(len(s))]
                     first, weight = s[order], weight[order]
-                    cold = first[weight <= HOT]
-                    held.append((cold, fp))
-                    size += len(cold)
-                    for k, v in zip(out, (0, ids[i], len(s), fp, point(s).tobytes(), first[weight > HOT].view(np.int64).tolist())):
-                        out[k].append(v)
+                    held.append((first[weight <= HOT], fp))
+                    size += len(held[-1][0])
+                    if weight[-1] > HOT:
+                        fps.append(fp)
+                        hot.append(first[weight > HOT].view(np.int64).tolist())
                     if size >= FLUSH:
                         yield flush(held)
                         held, size = [], 0
-                if out["kind"]:
-                    yield rows(schema, **out)
+                if fps:
+                    yield rows(schema, kind=[0] * len(fps), fp=fps, hot=hot)
         if size:
             yield flush(held)
 
     return run
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket the tokens that two or more nodes have; equal member lists come once."""
-    tokens = np.concatenate([np.frombuffer(b, "<u8") for b in pdf["tokens"]])
-    nodes = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["nodes"]])
+def _blocks(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket the tokens that two or more nodes have; equal member lists come once. Hot tokens pass through."""
+    pdf = pdf[pdf["kind"] == 1]
+    tokens = np.concatenate([np.empty(0, np.uint64), *(unpacked(b, 5) for b in pdf["tokens"])])
+    nodes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(b, "<i8") for b in pdf["nodes"])])
     order = np.argsort(tokens, kind="stable")
     tokens, nodes = tokens[order], nodes[order]
     cut = np.flatnonzero(np.diff(tokens)) + 1
-    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(tokens)]])
-    found: dict[int, np.ndarray] = {}
-    for i in np.flatnonzero(end - begin > 1).tolist():
-        members = np.unique(nodes[begin[i] : end[i]])
+    begin, end = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(tokens)]]).astype(np.int64)
+    found: dict[int, list[int]] = {}
+    two = begin[end - begin == 2]
+    pairs = np.unique(np.sort(np.stack([nodes[two], nodes[two + 1]], axis=1), axis=1), axis=0) if len(two) else np.empty((0, 2), np.int64)
+    many = [np.unique(nodes[begin[i] : end[i]]) for i in np.flatnonzero(end - begin > 2).tolist()]
+    for members in [*pairs[pairs[:, 0] != pairs[:, 1]], *many]:
         if len(members) > 1:
-            found.setdefault(fingerprint(members.view(np.uint64)), members)
-    return pd.DataFrame({"block": pd.Series(list(found), dtype=np.int64), "members": pd.Series([m.tolist() for m in found.values()], dtype=object)})
+            found.setdefault(fingerprint(members.view(np.uint64)), members.tolist())
+    return pd.DataFrame({"block": pd.Series(list(found), dtype=np.int64), "members": pd.Series(list(found.values()), dtype=object)})
 
 
 class RTree:
@@ -206,27 +230,34 @@ class RTree:
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's nodes, in different components, whose points allow a link."""
-    pdf = pdf.sort_values(["fp", "home"], ascending=[True, False]).drop_duplicates("fp")
-    fp, root, n = (pdf[k].to_numpy() for k in ("fp", "root", "n"))
-    points = np.stack([np.frombuffer(b, "<u4") for b in pdf["point"]]).astype(np.int64)
-    home, asks = pdf["home"].to_numpy(), pdf["asks"].to_numpy()
-    here = np.flatnonzero(home)
-    a, b = [], []
-    if len(here):
-        tree = RTree(n[here], points[here])
-        for i in np.flatnonzero(asks).tolist():
-            hit = here[tree.search(int(n[i]), points[i])]
-            hit = hit[root[hit] != root[i]]
-            a += np.minimum(fp[hit], fp[i]).tolist()
-            b += np.maximum(fp[hit], fp[i]).tolist()
-    return pd.DataFrame({"a": a, "b": b}, dtype=np.int64).drop_duplicates()
+    """Pairs of nodes of a block, in different components, whose points allow a link; pdf holds several blocks."""
+    pdf = pdf.sort_values(["block", "part"])
+    fp, root, n, home, asks, block, part = (pdf[k].to_numpy() for k in ("fp", "root", "n", "home", "asks", "block", "part"))
+    points = points_of(pdf["point"])
+    edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
+    out = [np.empty((0, 2), np.int64)]
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
+        here = lo + np.flatnonzero(home[lo:hi])
+        ask = lo + np.flatnonzero(asks[lo:hi])
+        if not len(here) or not len(ask):
+            continue
+        if len(here) <= LEAF:  # one leaf
+            i, j = np.nonzero(np.minimum(points[ask][:, None], points[here][None]).sum(axis=2) >= needed(n[ask][:, None], n[here][None]))
+            x, y = ask[i], here[j]
+        else:
+            tree = RTree(n[here], points[here])
+            hits = [here[tree.search(int(n[i]), points[i])] for i in ask.tolist()]
+            x, y = np.repeat(ask, [len(k) for k in hits]), np.concatenate(hits)
+        apart = root[x] != root[y]
+        x, y = fp[x[apart]], fp[y[apart]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
 def _bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            x, y = (np.stack([np.frombuffer(b, "<u4") for b in pdf[k]]).astype(np.int64) for k in ("point_a", "point_b"))
+            x, y = points_of(pdf["point_a"]), points_of(pdf["point_b"])
             pdf = pdf[np.minimum(x, y).sum(axis=1) >= needed(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy())]
         yield pdf[["a", "b"]]
 
@@ -289,6 +320,31 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, edges: DataFrame
     return scratch.table(near.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify, "a long, b long"), f"{name}-links")
 
 
+def _members(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heavy, bits: int) -> DataFrame:
+    """(block, fp): the nodes of each block, split into size bands so that only nodes of like size meet.
+
+    Linked sets differ in size by 4/3 at most, so their size classes to the base 4/3 are equal or neighbours: a node
+    of class c stands in the bands c and c + 1. Bands with the same members as another are left out.
+    """
+    second = docs.mapInArrow(_second_pass(heavy, bits), SECOND)
+    # hot tokens come as rows of their own, the others by bucket
+    second = second.groupBy(F.coalesce("bucket", F.expr(f"cast(-1 - pmod(fp, {1 << bits}) as int)")).alias("b"))
+    blocks = scratch.table(second.applyInPandas(lambda key, pdf: _tell_hot(pdf) if key[0] < 0 else _blocks(key, pdf), "block long, members array<long>"), "blocks")
+    rows_ = blocks.groupBy("block", "members").agg(F.lit(1)).select("block", F.explode("members").alias("fp"))
+    rows_ = rows_.join(nodes.select("fp", "n"), "fp").withColumn("c", F.expr(f"cast(floor(ln(n) / ln({DEN} / {NUM}) + 1e-9) as int)"))
+    rows_ = rows_.select(F.explode(F.expr("array(c, c + 1)")).alias("band"), "block", "fp").select(F.xxhash64("block", "band").alias("block"), "fp")
+    rows_ = scratch.table(rows_, "bands")
+    one = rows_.groupBy("block").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.expr("pmod(xxhash64(fp, 1), 1000000007)")).alias("y")).where("size > 1")
+    one = one.groupBy("size", "x", "y").agg(F.min("block").alias("block")).select("block")
+    return scratch.table(rows_.join(one, "block", "left_semi"), "members")
+
+
+def _tell_hot(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A member list of one for each hot token of a node; SQL brings the nodes of a token together."""
+    block = [t for tokens in pdf["hot"] for t in tokens]
+    return pd.DataFrame({"block": pd.Series(block, dtype=np.int64), "members": pd.Series([[f] for f, tokens in zip(pdf["fp"], pdf["hot"]) for _ in tokens], dtype=object)})
+
+
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     spark = docs.sparkSession
@@ -299,40 +355,35 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     first = scratch.table(docs.mapInArrow(_first_pass(bits), FIRST), "first")
     known = scratch.table(first.where("kind = 0").select("doc_id", "n", "fp"), "known")
+    nodes = first.where("kind = 0 and n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"))
+    nodes = scratch.table(nodes, "nodes")
     total = known.agg(F.coalesce(F.sum(F.expr("(n + 1) div 2")), F.lit(0))).first()[0]
     least = max(16, total // MAX_HEAVY)
     heavy = first.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInPandas(_heavy(least, bits), "key long, df long").toPandas()
     order = np.argsort(heavy["key"].to_numpy(np.int64))
     told = spark.sparkContext.broadcast((heavy["key"].to_numpy(np.int64)[order], heavy["df"].to_numpy(np.int64)[order]))
-
-    second = scratch.table(docs.mapInArrow(_second_pass(told, bits), SECOND), "second")
-    nodes = scratch.table(second.where("kind = 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("tokens").alias("point")), "nodes")
-    cold = second.where("kind = 1").select("bucket", "tokens", "nodes").groupBy("bucket").applyInPandas(_blocks, "block long, members array<long>")
-    cold = cold.dropDuplicates(["block"]).select("block", F.explode("members").alias("fp"))
-    hot = second.where("kind = 0").select(F.explode("hot").alias("t"), "fp").select(F.xxhash64(F.lit("hot"), "t").alias("block"), "fp").distinct()
-    members = scratch.table(cold.unionByName(hot), "members")
     scratch.drop("first")
 
-    least_node = members.groupBy("block").agg(F.min("fp").alias("p"), F.count("*").alias("size"))
-    pivot = members.join(least_node.where("size > 1"), "block").where("p <> fp").groupBy("fp").agg(F.min("p").alias("p"))
-    links = _links(scratch, docs, nodes, pivot.select(F.col("p").alias("a"), F.col("fp").alias("b")), "one")
+    members = _members(scratch, docs, nodes, told, bits)
+    ends = members.groupBy("block").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    stars = members.join(ends, "block").select("fp", F.explode(F.array("lo", "hi")).alias("p")).where("p <> fp").select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
+    links = _links(scratch, docs, nodes, stars, "one")
     root = scratch.table(components(scratch, links, "stars"), "roots")
 
     placed = members.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root"))
     placed = scratch.table(placed, "placed")
-    open_blocks = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min(F.struct("fp", "root")).alias("m")).where("lo <> hi")
-    parts = F.expr(f"cast(ceil(size / {SPLIT}) as int)")
-    inside = placed.join(open_blocks.select("block", parts.alias("parts"), F.col("m.root").alias("main")), "block").withColumn("asks", F.expr("parts = 1 or root <> main"))
+    open_blocks = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min(F.struct("fp", "root")).alias("m")).where("lo <> hi and size > 2")
+    inside = placed.join(open_blocks.select("block", F.expr(f"cast(ceil(size / {SPLIT}) as int)").alias("parts"), F.col("m.root").alias("main")), "block").withColumn("asks", F.expr("root <> main"))
     inside = inside.withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)")).withColumn("part", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(own))"))).withColumn("home", F.expr("part = own"))
     inside = inside.select("block", "part", "fp", "root", "home", "asks").join(nodes.select("fp", "n", "point"), "fp")
-    pairs = inside.groupBy("block", "part").applyInPandas(_search, "a long, b long")
+    pairs = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search, "a long, b long")
     more = _links(scratch, docs, nodes, pairs, "two")
 
     root = components(scratch, links.unionByName(more), "all")
     named = nodes.select("fp", "doc_id").join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.table(named.join(smallest, "root").select("fp", "component_id"), "named")
-    scratch.drop("second", "members", "placed")
+    scratch.drop("members", "placed")
     return known.join(named, "fp", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
