@@ -230,12 +230,12 @@ class RTree:
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of a block, in different components, whose points allow a link; pdf holds several blocks."""
+    """(a, targets): nodes of a's block, in other components, whose points allow a link with a; pdf holds several blocks."""
     pdf = pdf.sort_values(["block", "part"])
     fp, root, n, home, asks, block, part = (pdf[k].to_numpy() for k in ("fp", "root", "n", "home", "asks", "block", "part"))
     points = points_of(pdf["point"])
     edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
-    out = [np.empty((0, 2), np.int64)]
+    out: dict[str, list] = {"a": [], "targets": []}
     for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
         here = lo + np.flatnonzero(home[lo:hi])
         ask = lo + np.flatnonzero(asks[lo:hi])
@@ -249,8 +249,19 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
             hits = [here[tree.search(int(n[i]), points[i])] for i in ask.tolist()]
             x, y = np.repeat(ask, [len(k) for k in hits]), np.concatenate(hits)
         apart = root[x] != root[y]
-        x, y = fp[x[apart]], fp[y[apart]]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        x, y = x[apart], fp[y[apart]]
+        for a, targets in split_by_bucket(x, y):
+            out["a"].append(int(fp[a]))
+            out["targets"].append(targets.tobytes())
+    return pd.DataFrame({"a": pd.Series(out["a"], dtype=np.int64), "targets": pd.Series(out["targets"], dtype=object)})
+
+
+def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of some nodes and their targets from all blocks, once each."""
+    out = [np.empty((0, 2), np.int64)]
+    for a, lists in pdf.groupby("a")["targets"]:
+        b = np.unique(np.concatenate([np.frombuffer(t, "<i8") for t in lists]))
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
@@ -287,7 +298,7 @@ def _sets_of(marks, bits: int):
             for _, texts in chunks(batch):
                 sets = [s for s in shingle_sets(Words(texts)) if len(s)]
                 prints = [fingerprint(s) for s in sets]
-                yield rows(schema, fp=prints, tokens=[s.astype("<u8").tobytes() for s in sets])
+                yield rows(schema, fp=prints, tokens=[packed(s >> np.uint64(16), 6) for s in sets])
 
     return run
 
@@ -296,9 +307,9 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = []
         for x, y in zip(pdf["tokens_a"], pdf["tokens_b"]):
-            both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-            keep.append(DEN * both >= NUM * (len(x) // 8 + len(y) // 8 - both))
-        yield pdf[["a", "b"]][np.array(keep, dtype=bool)]
+            both = len(np.intersect1d(unpacked(x, 6), unpacked(y, 6), assume_unique=True))
+            keep.append(DEN * both >= NUM * (len(x) // 6 + len(y) // 6 - both))
+        yield pdf[["a", "b"]][np.array(keep, dtype=bool)].drop_duplicates()
 
 
 def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -314,8 +325,8 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, edges: DataFrame
     for row in asked.select("doc_id").coalesce(4).mapInPandas(_marks(bits), "bitmap binary").toLocalIterator():
         bitmap |= np.frombuffer(row.bitmap, np.uint8)
     marks = spark.sparkContext.broadcast(bitmap.tobytes())
-    sets = docs.mapInArrow(_sets_of(marks, bits), "fp long, tokens binary").dropDuplicates(["fp"])
-    sets = scratch.table(sets.join(asked.select("fp"), "fp", "left_semi"), f"{name}-sets")
+    # straight from the texts: a set that the bitmap lets pass by chance finds no pair, or repeats one
+    sets = scratch.table(docs.mapInArrow(_sets_of(marks, bits), "fp long, tokens binary"), f"{name}-sets")
     side = lambda k: sets.select(F.col("fp").alias(k), F.col("tokens").alias(f"tokens_{k}"))
     return scratch.table(near.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify, "a long, b long"), f"{name}-links")
 
@@ -376,7 +387,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     inside = placed.join(open_blocks.select("block", F.expr(f"cast(ceil(size / {SPLIT}) as int)").alias("parts"), F.col("m.root").alias("main")), "block").withColumn("asks", F.expr("root <> main"))
     inside = inside.withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)")).withColumn("part", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(own))"))).withColumn("home", F.expr("part = own"))
     inside = inside.select("block", "part", "fp", "root", "home", "asks").join(nodes.select("fp", "n", "point"), "fp")
-    pairs = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search, "a long, b long")
+    pairs = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search, "a long, targets binary")
+    pairs = pairs.groupBy(F.expr(f"cast(pmod(xxhash64(a), {buckets}) as int)").alias("bucket")).applyInPandas(_distinct, "a long, b long")
     more = _links(scratch, docs, nodes, pairs, "two")
 
     root = components(scratch, links.unionByName(more), "all")
