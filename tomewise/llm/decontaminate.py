@@ -30,6 +30,7 @@ from .shared import Words, chunks, column, rows
 BLOCK = 1024  # passages of one block
 RANK = 512  # dimensions of the latent space, at most
 STRIDE = 16  # words between windows
+CELLS = 4096  # strides that are projected at a time
 COMMON = 1e-3  # terms with a larger share of the corpus' words have no weight
 ENERGY = 0.4  # of a passage's energy that a candidate window covers
 COSINE = 0.3  # between a candidate window's weighted terms and the passage
@@ -149,56 +150,83 @@ def randomised_svd(spark, weights: list[tuple[np.ndarray, np.ndarray]], width: i
 class Searcher:
     def __init__(self, passages: Passages, idf: np.ndarray, coordinates: np.ndarray, basis: np.ndarray):
         self.passages, self.idf = passages, idf
-        self.coordinates, self.basis = coordinates.astype(np.float32), basis.astype(np.float32)
-        self.energy = (coordinates**2).sum(axis=1)
         self.words = [w.tolist() for w in passages.words]
-        self.sizes = sorted({int(x) for x, e in zip(passages.strides, self.energy) if e > 0})
-        self.of_size = {s: np.flatnonzero((passages.strides == s) & (self.energy > 0)) for s in self.sizes}
+        energy = (coordinates**2).sum(axis=1)
+        order = np.argsort(passages.strides, kind="stable")
+        #: the passages with energy, shortest window first, and their coordinates
+        self.items = order[energy[order] > 0]
+        self.strides, self.energy = passages.strides[self.items], energy[self.items]
+        self.coordinates = np.ascontiguousarray(coordinates[self.items].astype(np.float32).T)
+        self.lifted = (basis * idf[:, None]).astype(np.float32)  # a term's share in the latent space
 
     def search(self, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
-        """(text, passage) -> the best (lcs, answer, cosine) of its verified windows."""
+        """(text, passage) -> the best (lcs, answer, cosine) of its verified windows.
+
+        A window's dot product with a passage is the sum of those of its cells, so each cell is projected once.
+        """
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         at = self.passages.place(h)
-        weight = np.where(at >= 0, self.idf[at], 0.0)
-        hit = np.flatnonzero(weight > 0)
-        if not len(hit):
+        hit = np.flatnonzero((at >= 0) & (self.idf[at] > 0))
+        if not len(hit) or not len(self.items):
             return best
         # cells of STRIDE words, counted within each text; the cells of all texts lie side by side
-        count = np.diff(first)
-        cells = -(-count // STRIDE)
+        cells = -(-np.diff(first) // STRIDE)
         begin = np.concatenate([[0], np.cumsum(cells)])
         doc = np.searchsorted(first, hit, side="right") - 1
         cell = begin[doc] + (hit - first[doc]) // STRIDE
-        mass = np.concatenate([[0.0], np.cumsum(np.bincount(cell, weight[hit] ** 2, begin[-1]))])
         edge = np.searchsorted(cell, np.arange(begin[-1] + 1))
         owner = np.repeat(np.arange(len(cells)), cells)
-        for size in self.sizes:
-            items = self.of_size[size]
-            last = np.minimum(np.arange(begin[-1]) + size, begin[owner + 1])
-            full = (np.arange(begin[-1]) == begin[owner]) | (np.arange(begin[-1]) + size <= begin[owner + 1])
-            likely = np.flatnonzero(full & (mass[last] - mass[:-1] >= ENERGY * self.energy[items].min() * 0.999))
-            for a in range(0, len(likely), 2048):
-                part = likely[a : a + 2048]
-                z, norm = np.empty((len(part), self.basis.shape[1]), np.float32), np.empty(len(part))
-                for k, c in enumerate(part.tolist()):
-                    inside = hit[edge[c] : edge[last[c]]]
-                    terms, tf = np.unique(at[inside], return_counts=True)
-                    x = tf * self.idf[terms]
-                    z[k] = x @ self.basis[terms]
-                    norm[k] = np.sqrt((x**2).sum())
-                dot = z @ self.coordinates[items].T
-                good = (dot >= ENERGY * self.energy[items] - 1e-3) & (dot >= COSINE * norm[:, None] * np.sqrt(self.energy[items]) - 1e-3)
-                for k, j in zip(*np.nonzero(good)):
-                    item, c = int(items[j]), int(part[k])
-                    d = int(owner[c])
-                    lo = first[d] + (c - begin[d]) * STRIDE
-                    hi = min(first[d + 1], first[d] + (last[c] - begin[d]) * STRIDE)
-                    found = self.verify(item, h[lo:hi].tolist())
-                    if found:
-                        score = (*found, float(dot[k, j] / (norm[k] * np.sqrt(self.energy[item]))))
-                        best[d, item] = max(best.get((d, item), score), score)
+        tail, known = int(self.strides[-1]) - 1, {}
+        for a in range(0, int(begin[-1]), CELLS):
+            b = min(a + CELLS, int(begin[-1]))
+            for c, size, j, dot in self._near(at[hit], edge, begin, owner, a, b, min(b + tail, int(begin[-1]))):
+                d, item = int(owner[c]), int(self.items[j])
+                last = min(c + size, int(begin[d + 1]))
+                lo, hi = int(first[d]) + (c - int(begin[d])) * STRIDE, min(int(first[d + 1]), int(first[d]) + (last - int(begin[d])) * STRIDE)
+                if (c, last) not in known:
+                    terms, tf = np.unique(at[hit[edge[c] : edge[last]]], return_counts=True)
+                    known[c, last] = float(np.sqrt(((tf * self.idf[terms]) ** 2).sum()))
+                norm = known[c, last] * float(np.sqrt(self.energy[j]))
+                if dot < COSINE * norm - 1e-3:
+                    continue
+                found = self.verify(item, h[lo:hi].tolist())
+                if found:
+                    score = (*found, dot / norm)
+                    best[d, item] = max(best.get((d, item), score), score)
+            known.clear()
         return best
 
+    def _near(self, terms: np.ndarray, edge: np.ndarray, begin: np.ndarray, owner: np.ndarray, a: int, b: int, end: int) -> Iterator[tuple[int, int, int, float]]:
+        """(first cell, cells, place in items, dot product) of the windows from a to b that cover enough of a passage's energy."""
+        part = terms[edge[a] : edge[end]]
+        if not len(part):
+            return
+        per = np.diff(edge[a : end + 1])
+        filled = np.flatnonzero(per)
+        dots = np.zeros((end - a, len(self.items)), np.float32)
+        dots[filled] = np.add.reduceat(self.lifted[part], edge[a + filled] - edge[a], axis=0) @ self.coordinates
+        mass = np.concatenate([[0.0], np.cumsum(np.add.reduceat(np.append(self.idf[part] ** 2, 0.0), np.minimum(edge[a:end] - edge[a], len(part))) * (per > 0))])
+        at = np.arange(a, b)
+        window, own = dots[: b - a].copy(), owner[a:b]
+        for size in range(1, int(self.strides[-1]) + 1):
+            if size > 1:  # one cell more, of the same text
+                n = max(0, min(b - a, end - a - size + 1))
+                more = owner[a + size - 1 : a + size - 1 + n] == own[:n]
+                low = np.searchsorted(self.strides, size)
+                window[:n, low:] += dots[size - 1 : size - 1 + n, low:] * more[:, None]
+            lo, hi = np.searchsorted(self.strides, [size, size + 1])
+            if lo == hi:
+                continue
+            stop = begin[own + 1]
+            usable = (at == begin[own]) | (at + size <= stop)
+            least = mass[np.minimum(at + size, stop) - a] - mass[at - a]  # at most the squared norm
+            energy = self.energy[lo:hi]
+            good = usable[:, None] & (window[:, lo:hi] >= ENERGY * energy - 1e-3)
+            for k, j in zip(*(x.tolist() for x in np.nonzero(good))):
+                dot = float(window[k, lo + j])
+                if dot >= COSINE * np.sqrt(least[k] * energy[j]) - 1e-3:
+                    yield a + k, size, int(lo + j), dot
+
     def verify(self, item: int, window: list[int]) -> tuple[float, float] | None:
         own = self.words[item]
         share = lcs(own, window) / len(own)
