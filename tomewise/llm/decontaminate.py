@@ -6,6 +6,7 @@
    covers well enough by cosine becomes a candidate.
 4. Candidates are checked by the longest common subsequence of words with the passage, and with its last quarter, the
    answer, which settles paraphrases.
+5. Exact copies need no candidate: each place of a passage's rarest word is compared with the passage word by word.
 
 The passages are worked through in blocks of BLOCK, so what is broadcast has a bound; all windows of all documents
 are searched for every block.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from . import shared
 from .shared import Words, chunks, column, rows
 
-BLOCK = 1024  # passages of one block
 RANK = 512  # dimensions of the latent space, at most
+BLOCK = RANK  # passages of one block, at most; more would lose passages whose energy lies outside the space
 STRIDE = 16  # words between windows
 CELLS = 4096  # strides that are projected at a time
 COMMON = 1e-3  # terms with a larger share of the corpus' words have no weight
@@ -158,6 +159,14 @@ class Searcher:
         self.strides, self.energy = passages.strides[self.items], energy[self.items]
         self.coordinates = np.ascontiguousarray(coordinates[self.items].astype(np.float32).T)
         self.lifted = (basis * idf[:, None]).astype(np.float32)  # a term's share in the latent space
+        #: term -> (passage, its offset there) of the passages whose rarest word it is
+        self.rarest: dict[int, list[tuple[int, int]]] = {}
+        for item, w in enumerate(passages.words):
+            at = passages.place(w)
+            k = int(np.argmax(idf[at]))
+            self.rarest.setdefault(int(at[k]), []).append((item, k))
+        self.is_rarest = np.zeros(len(idf), bool)
+        self.is_rarest[list(self.rarest)] = True
 
     def search(self, h: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, passage) -> the best (lcs, answer, cosine) of its verified windows.
@@ -194,8 +203,36 @@ class Searcher:
                     score = (*found, dot / norm)
                     best[d, item] = max(best.get((d, item), score), score)
             known.clear()
+        for d, item, start in self._exact(h, first, at, hit):
+            if (d, item) not in best:
+                lo = int(first[d]) + (start - int(first[d])) // STRIDE * STRIDE
+                window = at[lo : min(lo + int(self.passages.strides[item]) * STRIDE, int(first[d + 1]))]
+                best[d, item] = (1.0, 1.0, self._cosine(item, window[window >= 0]))
         return best
 
+    def _exact(self, h: np.ndarray, first: np.ndarray, at: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, passage, place of its first word) of the word-by-word copies."""
+        places = hit[self.is_rarest[at[hit]]]
+        places = places[np.argsort(at[places], kind="stable")]
+        terms, edge = np.unique(at[places], return_index=True)
+        for term, own in zip(terms.tolist(), np.split(places, edge[1:])):
+            text = np.searchsorted(first, own, side="right") - 1
+            for item, offset in self.rarest[term]:
+                words = self.passages.words[item]
+                start = own - offset
+                fits = (start >= first[text]) & (start + len(words) <= first[text + 1])
+                start, inside = start[fits], text[fits]
+                for k, w in enumerate(words):
+                    if not len(start):
+                        break
+                    same = h[start + k] == w
+                    start, inside = start[same], inside[same]
+                yield from zip(inside.tolist(), [item] * len(start), start.tolist())
+
+    def _cosine(self, item: int, terms: np.ndarray) -> float:
+        window, own = (np.bincount(t, minlength=len(self.idf)) * self.idf for t in (terms, self.passages.place(self.passages.words[item])))
+        return float(window @ own / np.sqrt((window @ window) * (own @ own)))
+
     def _near(self, terms: np.ndarray, edge: np.ndarray, begin: np.ndarray, owner: np.ndarray, a: int, b: int, end: int) -> Iterator[tuple[int, int, int, float]]:
         """(first cell, cells, place in items, dot product) of the windows from a to b that cover enough of a passage's energy."""
         part = terms[edge[a] : edge[end]]
@@ -265,8 +302,9 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id") -> Iterator[list[tupl
     n = max(1, -(-rows_.count() // BLOCK))
     for k in range(n):
         found = rows_.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        if found:
-            yield sorted((r.item_id, r.text) for r in found)
+        found = sorted((r.item_id, r.text) for r in found)
+        for a in range(0, len(found), BLOCK):  # a hash bucket may hold more than its share
+            yield found[a : a + BLOCK]
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("lcs_ratio", pa.float64()), ("answer_ratio", pa.float64()), ("cosine", pa.float64())])
