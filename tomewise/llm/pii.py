@@ -2,8 +2,9 @@
 
 Base kinds (email, ip, card, phone) come from their definitions and always stay. Further generators propose whatever
 holds digits, an at sign or a key=value pair; the trees see the format of a span and the words before it, are fitted
-on weak labels (base spans and known credential formats against the rest) from a bounded sample of documents, and are
-calibrated on rows kept apart, which also set the threshold. A selected span is kept where it overlaps no base span.
+on weak labels (base spans and what covers the value of a known credential format, against the rest) from a bounded sample of documents, and are
+calibrated on rows kept apart, which also set the threshold. A selected span is kept where it overlaps no base span; of two, the one that holds the
+other.
 
 Defined results: null and empty texts have no spans; a text of any length is read whole.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-CREDENTIAL = re.compile(r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api[_-]?key)\s?[=:]\s?[^\s]{6,}", re.I)
+CREDENTIAL = re.compile(r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?(?P<value>[^\s]{6,})", re.I)
 
 DIGIT = re.compile(r"[0-9]")
-PAIR = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z_-]{2,20}[=:][^\s]{4,200}")
+KEY = r"[A-Za-z][A-Za-z0-9_-]{2,}+[\"']?\s*+[=:]"
+#: what follows white space is no value where it is the key of a pair itself
+PAIR = re.compile(rf"(?<![A-Za-z0-9_-]){KEY}(?:\s++(?!{KEY}))?(?:\"[^\"\n]{{4,}}+\"|'[^'\n]{{4,}}+'|[^\s]{{4,}}+)")
 HINTS = ("mail", "phone", "tel", "call", "contact", "card", "pass", "key", "secret", "token", "user", "id", "ssn", "iban")
 
 
@@ -102,6 +106,18 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(x for x in out if x[1] - x[0] >= 4)
 
 
+def credentials(text: str) -> list[tuple[int, int]]:
+    """The values of known credential formats, without quotes, in order."""
+    out = []
+    for m in CREDENTIAL.finditer(text):
+        a, b = m.span("value") if m["value"] else m.span()
+        if text[a] in "\"'":
+            close = text.find(text[a], a + 1, b)
+            a, b = a + 1, close if close > a + 1 else b
+        out.append((a, b))
+    return out
+
+
 def features(text: str, begin: int, end: int) -> list[float]:
     span, before = text[begin:end], text[max(0, begin - CONTEXT) : begin].lower()
     n = len(span)
@@ -123,10 +139,16 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = [], []
         for text in column(batch, "text").to_pylist():
             text = text or ""
-            sure = {(a, b) for _, a, b in base_spans(text)} | {m.span() for m in CREDENTIAL.finditer(text)}
+            sure, secret = {(a, b) for _, a, b in base_spans(text)}, credentials(text)
+            starts, ends = [a for a, _ in secret], [b for _, b in secret]
             for a, b in candidates(text):
+                k = bisect_left(starts, a)
+                covers = k < len(secret) and ends[k] <= b
+                # a part of a secret's value is no example of either kind
+                if not covers and (a, b) not in sure and (i := bisect_left(ends, b)) < len(secret) and starts[i] <= a:
+                    continue
                 x.append(np.array(features(text, a, b)).tobytes())
-                y.append(int((a, b) in sure))
+                y.append(int(covers or (a, b) in sure))
         yield rows(schema, x=x, y=y)
 
 
@@ -137,16 +159,19 @@ class Selector:
         self.least = threshold(self.trees.predict(x[apart]), y[apart])
 
     def select(self, text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Added spans by falling probability, none that overlaps a base span or a better one."""
+        """Added spans: those within another come last, then by falling probability; none overlaps a base span or one before it."""
         found = candidates(text)
         if not found:
             return []
         p = self.trees.predict(np.array([features(text, a, b) for a, b in found]))
+        chosen, within, end = [i for i in range(len(found)) if p[i] >= self.least], set(), -1
+        for i in sorted(chosen, key=lambda i: (found[i][0], -found[i][1])):
+            if found[i][1] <= end:
+                within.add(i)
+            end = max(end, found[i][1])
         taken, out = [(a, b) for _, a, b in spans], []
-        for i in sorted(range(len(found)), key=lambda i: (-round(p[i], 9), found[i][0], -found[i][1])):
+        for i in sorted(chosen, key=lambda i: (i in within, -round(p[i], 9), found[i][0], -found[i][1])):
             a, b = found[i]
-            if p[i] < self.least:
-                break
             if all(b <= c or d <= a for c, d in taken):
                 taken.append((a, b))
                 out.append((ADDED, a, b))
