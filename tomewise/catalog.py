@@ -342,7 +342,7 @@ def ok_flag(spark, sf_dir):
     FROM (SELECT doc_id, n_chars AS n, CAST(floor(n_chars / 1024.0 * 10 + 0.5) AS BIGINT) AS t FROM documents WHERE n_chars < 1048576)"""
 )
 def format_bytes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("n_chars < 1048576").select("doc_id", C.format_bytes(F.col("n_chars")).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.format_bytes(F.col("n_chars")).alias("size"))
 
 
 TOOLS = (("Read, Grep, Glob", "Read|Grep|Glob"), ("Bash(git add:*) Read", "Bash(git add:*)|Read"), ("a,b c", "a|b|c"), ("x)y z", "x)y|z"), ("  ", ""))
