@@ -60,6 +60,22 @@ def test_split_blocks_and_hot_tokens(spark, monkeypatch):
     check(spark, corpus(200, 5))
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies that few of their fellows link with, and neighbours just under the threshold, over several rounds."""
+    monkeypatch.setattr(jaccard_join, "FIRST_ASK", 1)
+    monkeypatch.setattr(jaccard_join, "MORE", 2)
+    monkeypatch.setattr(jaccard_join, "SPLIT", 16)
+    r = random.Random(8)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    base, rows = r.choices(vocabulary, k=120), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((1000 - i, " ".join(w)))
+    check(spark, rows)
+
+
 def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "a b c d e"), (7, "a b c d e"), (8, "Éa b c d e"), (9, "éa b c d e")])
     empty = spark.createDataFrame([], "doc_id long, text string")
@@ -78,4 +94,4 @@ def test_tree_search_is_complete():
     tree = jaccard_join.RTree(n, points)
     for i in range(0, 300, 7):
         want = np.flatnonzero(np.minimum(points, points[i]).sum(axis=1) >= jaccard_join.needed(n[i], n))
-        assert sorted(tree.search(int(n[i]), points[i]).tolist()) == want.tolist()
+        assert sorted(tree.search(int(n[i]), points[i])[0].tolist()) == want.tolist()

@@ -7,9 +7,12 @@ a point of group counts; the coordinate minima of two points sum to an upper bou
 2. `_second_pass`: equal sets become one node (its fingerprint). In a global order (light tokens by hash, then
    heavy ones by frequency) two sets with Jaccard similarity t share a token among the first n - ceil(t n) + 1, so
    nodes meet in the blocks of these tokens. Any global order is exact; this one keeps common passages out.
-3. Blocks: each node is linked to its block's least node where exact comparison allows. What remains open, nodes of
-   one block in different components, goes through an R-tree over the points of the block; pairs that survive the
-   bound are verified exactly.
+3. Blocks: each node is compared with the least and the greatest node of its blocks. What remains open, nodes of one
+   block in different components, is searched in rounds: a node outside its block's largest component asks an R-tree
+   over the points of the block for the few best targets in other components that the bound allows; they are verified
+   exactly, and links join components before the next round. A node whose candidates are not all verified, nor in its
+   component, asks again for more of them, so every pair that could link is settled, but a group of copies never
+   yields all its pairs.
 
 Equal member lists count as one block. Blocks over SPLIT members are dealt over several tasks. Nothing is capped.
 
@@ -34,7 +37,9 @@ NUM, DEN = 75, 100  # the threshold as a fraction
 GROUPS = 128  # coordinates of a point
 MAX_HEAVY = 1 << 22  # a token is heavy from max(16, tokens counted / MAX_HEAVY) occurrences, which bounds their number
 HOT = 4096  # heavier tokens go through SQL, whose sums are combined before the shuffle
-SPLIT = 4096  # members of a block that one task takes
+SPLIT = 2048  # members of a block that one task takes
+FIRST_ASK, MORE = 4, 8  # targets that a node asks for in the first round, and times more in each further one
+FEW = 1 << 16  # ids that may be broadcast
 FLUSH = 1 << 20  # tokens that a task holds before it writes them to its buckets
 LEAF = 16  # points in a leaf of the R-tree
 
@@ -63,7 +68,13 @@ def point(s: np.ndarray) -> bytes:
 
 
 def points_of(blobs) -> np.ndarray:
-    return np.stack([np.frombuffer(b, f"<u{len(b) // GROUPS}") for b in blobs]).astype(np.int64)
+    """The points as rows, in the width of the widest."""
+    return np.stack([np.frombuffer(b, f"<u{len(b) // GROUPS}") for b in blobs])
+
+
+def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap: the coordinate minima, summed."""
+    return np.minimum(x, y).sum(axis=-1, dtype=np.int64)
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
@@ -217,59 +228,87 @@ class RTree:
             edge = np.arange(0, len(least), LEAF)
             self.levels.append((np.maximum.reduceat(top, edge, axis=0), np.minimum.reduceat(least, edge)))
 
-    def search(self, n: int, q: np.ndarray) -> np.ndarray:
-        """Places (as given) of the points whose bound allows the overlap that a link needs."""
+    def search(self, n: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places as given, bounds) of the points whose bound allows the overlap that a link needs."""
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[depth]
-            at = at[np.minimum(top[at], q).sum(axis=1) >= needed(n, least[at])]
+            at = at[bound(top[at], q) >= needed(n, least[at])]
             size = len(self.levels[depth - 1][1]) if depth else len(self.n)
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < size]
-        return self.order[at[np.minimum(self.points[at], q).sum(axis=1) >= needed(n, self.n[at])]]
-
-
-def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, targets): nodes of a's block, in other components, whose points allow a link with a; pdf holds several blocks."""
-    pdf = pdf.sort_values(["block", "part"])
-    fp, root, n, home, asks, block, part = (pdf[k].to_numpy() for k in ("fp", "root", "n", "home", "asks", "block", "part"))
-    points = points_of(pdf["point"])
-    edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
-    out: dict[str, list] = {"a": [], "targets": []}
-    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
-        here = lo + np.flatnonzero(home[lo:hi])
-        ask = lo + np.flatnonzero(asks[lo:hi])
-        if not len(here) or not len(ask):
-            continue
-        if len(here) <= LEAF:  # one leaf
-            i, j = np.nonzero(np.minimum(points[ask][:, None], points[here][None]).sum(axis=2) >= needed(n[ask][:, None], n[here][None]))
-            x, y = ask[i], here[j]
-        else:
-            tree = RTree(n[here], points[here])
-            hits = [here[tree.search(int(n[i]), points[i])] for i in ask.tolist()]
-            x, y = np.repeat(ask, [len(k) for k in hits]), np.concatenate(hits)
-        apart = root[x] != root[y]
-        x, y = x[apart], fp[y[apart]]
-        for a, targets in split_by_bucket(x, y):
-            out["a"].append(int(fp[a]))
-            out["targets"].append(targets.tobytes())
-    return pd.DataFrame({"a": pd.Series(out["a"], dtype=np.int64), "targets": pd.Series(out["targets"], dtype=object)})
-
-
-def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of some nodes and their targets from all blocks, once each."""
-    out = [np.empty((0, 2), np.int64)]
-    for a, lists in pdf.groupby("a")["targets"]:
-        b = np.unique(np.concatenate([np.frombuffer(t, "<i8") for t in lists]))
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+        over = bound(self.points[at], q)
+        good = over >= needed(n, self.n[at])
+        return self.order[at[good]], over[good]
+
+
+def _search(ask_for: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each asking node the ask_for best targets in other components that it has not met yet; pdf holds several blocks."""
+        pdf = pdf.sort_values(["block", "part"])
+        fp, root, n, home, asks, block, part, met = (pdf[k].to_numpy() for k in ("fp", "root", "n", "home", "asks", "block", "part", "met"))
+        points = points_of(pdf["point"])
+        edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
+        out: dict[str, list] = {"a": [], "targets": [], "scores": [], "more": []}
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
+            here = lo + np.flatnonzero(home[lo:hi])
+            ask = lo + np.flatnonzero(asks[lo:hi])
+            if not len(here) or not len(ask):
+                continue
+            tree = RTree(n[here], points[here]) if len(here) > LEAF else None
+            for i in ask.tolist():
+                if tree:
+                    at, over = tree.search(int(n[i]), points[i])
+                    at = here[at]
+                else:  # one leaf
+                    at, over = here, bound(points[here], points[i])
+                    good = over >= needed(n[i], n[at])
+                    at, over = at[good], over[good]
+                other = root[at] != root[i]
+                if met[i] and other.any():
+                    other &= ~np.isin(fp[at], np.frombuffer(met[i], "<i8"))
+                at, over = at[other], over[other]
+                if not len(at):
+                    continue
+                score = over / (n[at] + n[i] - over)  # the Jaccard similarity that the bound allows
+                best = np.lexsort((fp[at], -score))[:ask_for]
+                out["a"].append(int(fp[i]))
+                out["targets"].append(fp[at[best]].tobytes())
+                out["scores"].append(score[best].astype("<f8").tobytes())
+                out["more"].append(len(at) > ask_for)
+        return pd.DataFrame({"a": pd.Series(out["a"], dtype=np.int64), **{k: pd.Series(out[k], dtype=object) for k in ("targets", "scores")}, "more": pd.Series(out["more"], dtype=bool)})
+
+    return run
+
+
+def _choose(ask_for: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of some nodes the best targets from all of their blocks, and whether there are more."""
+        out: dict[str, list] = {"fp": [], "targets": [], "more": []}
+        for a, own in pdf.groupby("a"):
+            target, score = (np.concatenate([np.frombuffer(t, kind) for t in own[k]]) for k, kind in (("targets", "<i8"), ("scores", "<f8")))
+            target, at = np.unique(target, return_index=True)
+            best = np.lexsort((target, -score[at]))[:ask_for]
+            out["fp"].append(a)
+            out["targets"].append(target[best].tobytes())
+            out["more"].append(bool(own["more"].any()) or len(target) > ask_for)
+        return pd.DataFrame({"fp": pd.Series(out["fp"], dtype=np.int64), "targets": pd.Series(out["targets"], dtype=object), "more": pd.Series(out["more"], dtype=bool)})
+
+    return run
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        b = [np.frombuffer(t, "<i8") for t in pdf["targets"]]
+        a = np.repeat(pdf["fp"].to_numpy(np.int64), [len(x) for x in b])
+        b = np.concatenate([np.empty(0, np.int64), *b])
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            x, y = points_of(pdf["point_a"]), points_of(pdf["point_b"])
-            pdf = pdf[np.minimum(x, y).sum(axis=1) >= needed(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy())]
+            pdf = pdf[bound(points_of(pdf["point_a"]), points_of(pdf["point_b"])) >= needed(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy())]
         yield pdf[["a", "b"]]
 
 
@@ -312,23 +351,127 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["a", "b"]][np.array(keep, dtype=bool)].drop_duplicates()
 
 
-def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """Those of the candidate edges (a, b) whose sets are similar enough."""
-    spark = scratch.spark
+class Sets:
+    """The sets of the nodes that were asked for, each taken from its text once and kept as a table."""
+
+    def __init__(self, scratch: Scratch, docs: DataFrame, nodes: DataFrame):
+        self.scratch, self.docs, self.nodes = scratch, docs, nodes
+        self.kept: DataFrame | None = None
+
+    def of(self, asked: DataFrame, name: str) -> DataFrame:
+        """(fp, tokens) of the asked nodes; a set may come more than once. asked: a table of distinct fp."""
+        if self.kept is None:
+            missing = asked
+        else:
+            missing = self.scratch.table(asked.join(self.kept.select("fp"), "fp", "left_anti"), f"{name}-missing")
+        n = missing.count()
+        if n:
+            sets = self.scratch.table(self._read(missing, n, name), f"{name}-sets")
+            self.kept = sets if self.kept is None else self.kept.unionByName(sets)
+        if self.kept is None:
+            return self.docs.sparkSession.createDataFrame([], "fp long, tokens binary")
+        if asked.count() > FEW:
+            return self.kept.join(asked, "fp", "left_semi")
+        return self.kept.join(F.broadcast(asked), "fp", "left_semi")
+
+    def _read(self, missing: DataFrame, n: int, name: str) -> DataFrame:
+        """Straight from the texts: a set that the bitmap lets pass by chance finds no pair, or repeats one."""
+        ids = self.scratch.table(missing.join(self.nodes.select("fp", "doc_id"), "fp").select("doc_id"), f"{name}-ids")
+        bits = int(min(27, max(16, (n * 16).bit_length())))  # a bitmap of 16 MB at most: beyond its size it only lets more texts pass
+        bitmap = np.zeros((1 << bits) // 8, np.uint8)
+        for row in ids.coalesce(4).mapInPandas(_marks(bits), "bitmap binary").toLocalIterator():
+            bitmap |= np.frombuffer(row.bitmap, np.uint8)
+        marks = self.docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+        docs = self.docs.join(F.broadcast(ids), "doc_id", "left_semi") if n <= FEW else self.docs
+        return docs.mapInArrow(_sets_of(marks, bits), "fp long, tokens binary")
+
+
+def _near(scratch: Scratch, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Those of the candidate edges (a, b) whose sizes and points allow a link."""
     side = lambda k: nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("point").alias(f"point_{k}"))
     near = edges.distinct().join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-    near = scratch.table(near.mapInPandas(_bound, "a long, b long"), f"{name}-near")
-    asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", "doc_id")
-    asked = scratch.table(asked, f"{name}-asked")
-    bits = int(min(27, max(16, (asked.count() * 16).bit_length())))  # a bitmap of 16 MB at most: beyond its size it only lets more texts pass
-    bitmap = np.zeros((1 << bits) // 8, np.uint8)
-    for row in asked.select("doc_id").coalesce(4).mapInPandas(_marks(bits), "bitmap binary").toLocalIterator():
-        bitmap |= np.frombuffer(row.bitmap, np.uint8)
-    marks = spark.sparkContext.broadcast(bitmap.tobytes())
-    # straight from the texts: a set that the bitmap lets pass by chance finds no pair, or repeats one
-    sets = scratch.table(docs.mapInArrow(_sets_of(marks, bits), "fp long, tokens binary"), f"{name}-sets")
-    side = lambda k: sets.select(F.col("fp").alias(k), F.col("tokens").alias(f"tokens_{k}"))
-    return scratch.table(near.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify, "a long, b long"), f"{name}-links")
+    return scratch.table(near.mapInPandas(_bound, "a long, b long"), f"{name}-near")
+
+
+def _links(scratch: Scratch, sets: Sets, near: DataFrame, name: str) -> DataFrame:
+    """Those of the candidate edges (a, b) whose sets are similar enough. near: a table."""
+    asked = scratch.table(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), f"{name}-asked")
+    found = sets.of(asked, name)
+    side = lambda k: found.select(F.col("fp").alias(k), F.col("tokens").alias(f"tokens_{k}"))
+    links = scratch.table(near.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify, "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-asked")
+    return links
+
+
+def _merge(scratch: Scratch, roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """(fp, root) of all nodes that have links, their roots included."""
+    if roots is None:
+        found = components(scratch, links, name)
+    else:
+        at = lambda k: roots.select(F.col("fp").alias(k), F.col("root").alias(f"root_{k}"))
+        edges = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+        found = components(scratch, edges, name)
+    found = scratch.table(found, f"{name}-found")
+    fresh = found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct())
+    if roots is not None:
+        moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("fp", F.coalesce("new", "root").alias("root"))
+        fresh = moved.unionByName(fresh.join(roots, "fp", "left_anti"))
+    return scratch.table(fresh, f"{name}-roots")
+
+
+def _round(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame, roots: DataFrame, met: DataFrame | None, step: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, targets, more) of the asking nodes, and the links among them and their targets.
+
+    Round 0: nodes outside the largest component of a block ask in the largest of these blocks. Round 1: in all of them.
+    From then on nodes that have more targets ask in all of their blocks.
+    """
+    name, ask_for = f"round{step}", FIRST_ASK * MORE**step
+    sizes = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
+    placed = members.join(sizes, "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = scratch.table(placed, f"{name}-placed")
+    open_ = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"), F.max(F.struct("size", "root")).alias("m")).where("lo <> hi").select("block", "of", F.col("m.root").alias("main"))
+    open_ = scratch.table(open_, f"{name}-open")
+    inside = placed.join(open_, "block")
+    if step < 2:
+        asking = inside.where("root <> main").select("block", "of", "fp")
+        if step == 0:
+            asking = asking.groupBy("fp").agg(F.max(F.struct("of", "block")).alias("m")).select("fp", F.col("m.block").alias("block"))
+    else:
+        asking = inside.join(met.where("more").select("fp"), "fp", "left_semi")
+    asking = asking.select("block", "fp", F.lit(True).alias("asks"))
+    if met is not None:
+        asking = asking.join(met.select("fp", F.col("targets").alias("met")), "fp", "left")
+    else:
+        asking = asking.withColumn("met", F.lit(None).cast("binary"))
+    asking = scratch.table(asking, f"{name}-asking")
+    inside = inside.join(asking.select("block").distinct(), "block", "left_semi").join(asking, ["block", "fp"], "left").join(nodes.select("fp", "n", "point"), "fp")
+    inside = inside.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("parts", F.expr(f"cast(ceil(of / {SPLIT}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
+    inside = inside.withColumn("part", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(own))"))).withColumn("home", F.expr("part = own"))
+    inside = inside.select("block", "part", "fp", "root", "home", "asks", "n", "point", "met")
+    found = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search(ask_for), "a long, targets binary, scores binary, more boolean")
+    found = found.groupBy(F.expr(f"cast(pmod(xxhash64(a), {buckets}) as int)").alias("bucket")).applyInPandas(_choose(ask_for), "fp long, targets binary, more boolean")
+    found = scratch.table(found, f"{name}-asked-for")
+    near = scratch.table(found.mapInPandas(_pairs, "a long, b long").distinct(), f"{name}-pairs")
+    links = _links(scratch, sets, near, name)
+    scratch.drop(*(f"{name}-{x}" for x in ("placed", "open", "asking", "pairs")))
+    return found, links
+
+
+def _settle(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
+    """The roots once no pair of a block is left that could link and is neither verified nor within one component."""
+    met, step = None, 0
+    while True:
+        found, links = _round(scratch, sets, nodes, members, roots, met, step, buckets)
+        roots = _merge(scratch, roots, links, f"merge{step}")
+        if step and not found.where("more").limit(1).count():
+            return roots
+        if met is None:
+            met = found
+        else:
+            before = met.select("fp", F.col("targets").alias("t"))
+            met = found.join(before, "fp", "left").select("fp", F.concat("targets", F.coalesce("t", F.lit(b""))).alias("targets"), "more")
+            met = scratch.table(met, f"met{step}")
+        step += 1
 
 
 def _members(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heavy, bits: int) -> DataFrame:
@@ -378,24 +521,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     members = _members(scratch, docs, nodes, told, bits)
     ends = members.groupBy("block").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     stars = members.join(ends, "block").select("fp", F.explode(F.array("lo", "hi")).alias("p")).where("p <> fp").select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
-    links = _links(scratch, docs, nodes, stars, "one")
-    root = scratch.table(components(scratch, links, "stars"), "roots")
-
-    placed = members.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root"))
-    placed = scratch.table(placed, "placed")
-    open_blocks = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min(F.struct("fp", "root")).alias("m")).where("lo <> hi and size > 2")
-    inside = placed.join(open_blocks.select("block", F.expr(f"cast(ceil(size / {SPLIT}) as int)").alias("parts"), F.col("m.root").alias("main")), "block").withColumn("asks", F.expr("root <> main"))
-    inside = inside.withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)")).withColumn("part", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(own))"))).withColumn("home", F.expr("part = own"))
-    inside = inside.select("block", "part", "fp", "root", "home", "asks").join(nodes.select("fp", "n", "point"), "fp")
-    pairs = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search, "a long, targets binary")
-    pairs = pairs.groupBy(F.expr(f"cast(pmod(xxhash64(a), {buckets}) as int)").alias("bucket")).applyInPandas(_distinct, "a long, b long")
-    more = _links(scratch, docs, nodes, pairs, "two")
-
-    root = components(scratch, links.unionByName(more), "all")
-    named = nodes.select("fp", "doc_id").join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    sets = Sets(scratch, docs, nodes)
+    links = _links(scratch, sets, _near(scratch, nodes, stars, "stars"), "stars")
+    roots = _settle(scratch, sets, nodes, members, _merge(scratch, None, links, "merge"), buckets)
+    named = nodes.select("fp", "doc_id").join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.table(named.join(smallest, "root").select("fp", "component_id"), "named")
-    scratch.drop("members", "placed")
+    scratch.drop("blocks", "bands", "members")
     return known.join(named, "fp", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
