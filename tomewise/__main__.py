@@ -9,16 +9,28 @@ USAGE = "Usage: python -m tomewise FOLDER [--json]"
 
 
 def run(argv: list[str], out=print, err=lambda s: print(s, file=sys.stderr), color: bool = False) -> int:
-    if "-h" in argv or "--help" in argv:
-        out(USAGE)
-        return 0
-    unknown = [a for a in argv if a.startswith("-") and a != "--json"]
-    paths = [a for a in argv if not a.startswith("-")]
-    if unknown or len(paths) != 1:
-        err(f"unknown option '{unknown[0]}'" if unknown else "missing folder path" if not paths else "expected at most one folder path")
+    """Options count in the order in which they stand; wrong use shows what is wrong, and the usage."""
+    paths, wrong = [], None
+    for arg in argv:
+        if arg in ("-h", "--help"):
+            out(USAGE)
+            return 0
+        if arg.startswith("-") and arg != "--json":
+            wrong = f"unknown option '{arg}'"
+            break
+        if arg != "--json":
+            paths.append(arg)
+    if not wrong and len(paths) != 1:
+        wrong = "expected at most one folder path" if paths else "missing folder path"
+    if wrong:
+        err(f"tomewise: {wrong}")
+        err(USAGE)
         return 2
-    if not os.path.isdir(paths[0]) or not os.path.isfile(os.path.join(paths[0], "SKILL.md")):
-        err(f"no SKILL.md in '{paths[0]}' — not a skill folder")
+    if not os.path.exists(paths[0]):
+        err(f"tomewise: no such file or directory: '{paths[0]}'")
+        return 2
+    if not os.path.isfile(os.path.join(paths[0], "SKILL.md")):
+        err(f"tomewise: no SKILL.md in '{paths[0]}' — not a skill folder")
         return 2
     from pyspark.sql import SparkSession
 
@@ -29,8 +41,8 @@ def run(argv: list[str], out=print, err=lambda s: print(s, file=sys.stderr), col
     spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
     try:
         row = analyze(from_dir(spark, paths[0])).first()
-    except OSError as error:
-        err(str(error))
+    except Exception as error:  # of the executors, too: what fails while reading is told, not thrown
+        err(f"tomewise: {str(error).splitlines()[0]}")
         return 2
     out(render.to_json(row) if "--json" in argv else render.to_text(row, color))
     return 0 if row["ok"] else 1

@@ -6,8 +6,6 @@ Skills are a view over `documents` (CORPUS): one skill for each source. Its SQL
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .functions import columns as C
 from .functions import yaml12
+from .functions.store import table_store
 from .operators import diagnostics, frontmatter, manifest, references
 from .plans import render
 from .plans.analyze import Options, analyze
@@ -72,7 +71,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH c AS ({CORPUS}) {sql}" if re.search(r"\b(?:FROM|JOIN) c\b", sql) else sql
+            ORACLES[f.__name__] = f"WITH c AS ({CORPUS}) {sql}" if re.search(r"\b(?:FROM|JOIN) c\b", sql) and not re.match(r"WITH (?:RECURSIVE )?c AS", sql) else sql
         return f
 
     return add
@@ -239,18 +238,6 @@ def mention_edges(spark, sf_dir):
     return references.edges(found, found)
 
 
-def store(spark: SparkSession):
-    """Cuts lineage with tables in the checkpoint folder; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tomewise-")
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{root}/graph-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 @query(
     f"""SELECT c.skill_id, c.path FROM c WHERE c.path NOT IN ('SKILL.md', 'README.md', 'LICENSE') AND NOT EXISTS (
     WITH RECURSIVE e AS ({EDGES}), r(skill_id, path) AS (SELECT skill_id, path FROM c WHERE path = 'SKILL.md' UNION SELECT e.skill_id, e.dst FROM r JOIN e ON e.skill_id = r.skill_id AND e.src = r.path)
@@ -258,15 +245,96 @@ def store(spark: SparkSession):
 )
 def unreachable_files(spark, sf_dir):
     found = corpus(spark, sf_dir)
-    keep = store(spark)
+    keep = table_store(spark)
     seen = references.reachable(keep(references.edges(found, found)), found.where("path = 'SKILL.md'"), keep)
     return found.where(~F.col("path").isin("SKILL.md", "README.md", "LICENSE")).join(seen, ["skill_id", "path"], "left_anti").select("skill_id", "path")
 
 
-@query()
+#: Skills whose files mention one another in every way that counts; one skill for each source, SKILL.md first.
+MENTIONING = """
+WITH d AS (
+  SELECT doc_id, text, source AS skill_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+i AS (SELECT *, CAST(rn AS STRING) AS no FROM d),
+p AS (
+  SELECT *, CASE
+      WHEN rn = 1 THEN 'SKILL.md' WHEN rn = 2 THEN 'scripts/__init__.py' WHEN rn = 3 THEN 'scripts/sub/__init__.py' WHEN rn = 4 THEN 'AGENTS.md'
+      WHEN rn % 11 = 5 THEN concat('scripts/s', no, '.py') WHEN rn % 11 = 6 THEN concat('scripts/sub/t', no, '.py')
+      WHEN rn % 11 = 7 THEN concat('references/r', no, '.md') WHEN rn % 11 = 8 THEN concat('lib/u', no, '.js')
+      WHEN rn % 11 = 9 THEN concat('lib/v', CAST(rn % 4 AS STRING), CASE WHEN rn % 2 = 0 THEN '.js' ELSE '.ts' END, CASE WHEN rn > 40 THEN no ELSE '' END)
+      WHEN rn % 11 = 10 THEN concat('assets/pool', CAST(rn % 4 AS STRING), '/f', no, '.bin') WHEN rn % 11 = 0 THEN concat('references/deep/d', no, '.md')
+      WHEN rn % 11 = 1 THEN concat('same', no, '/guide', CAST(rn % 4 AS STRING), '.md') WHEN rn % 11 = 2 THEN concat('n', no, '.txt')
+      WHEN rn % 11 = 3 THEN concat('lib/run', no, '/main.ts') ELSE concat('lib/run', CAST(rn - 1 AS STRING), '.js') END AS path
+  FROM i),
+n AS (SELECT *, lead(path) OVER (PARTITION BY skill_id ORDER BY rn) AS next, lead(path, 3) OVER (PARTITION BY skill_id ORDER BY rn) AS far FROM p),
+m AS (
+  SELECT *, CASE rn % 8 WHEN 0 THEN next WHEN 1 THEN concat('./', regexp_replace(next, '^.*/', '')) WHEN 2 THEN regexp_replace(next, '^.*/', '')
+      WHEN 3 THEN replace(regexp_replace(next, '[.]py$', ''), '/', '.') WHEN 4 THEN concat('.', regexp_replace(regexp_replace(next, '^.*/', ''), '[.][a-z]+$', ''))
+      WHEN 5 THEN regexp_replace(regexp_replace(next, '^.*/', ''), '[.][a-z]+$', '') WHEN 6 THEN regexp_replace(next, '[.](js|ts)$', '') ELSE concat('../', next) END AS one,
+    CASE rn % 5 WHEN 0 THEN concat('/mnt/skills/', skill_id, '/', far, 'c') WHEN 1 THEN concat('../../', far) WHEN 2 THEN concat('assets/pool', CAST(rn % 4 AS STRING), '/')
+      WHEN 3 THEN '../assets/pool3/' ELSE concat(chr(36), chr(123), 'ROOT', chr(125), '/', far) END AS two
+  FROM n)
+SELECT skill_id, path, CASE
+    WHEN rn = 1 THEN concat('---', chr(10), 'name: ', skill_id, chr(10), 'hook: python "', chr(36), chr(123), 'DIR', chr(125), '/scripts/s5.py"', chr(10), '---', chr(10),
+         'See [first](references/r7.md#top), [folder](./scripts/), [gone](references/gone.md), [shared](../shared/SKILL.md), [site](https://example.com/n13.txt) and `n13.txt`, ./assets/pool2', chr(10), text)
+    WHEN rn % 7 <> 3 AND next IS NOT NULL AND far IS NOT NULL THEN concat(text, chr(10), 'Next: ', CASE WHEN rn % 3 = 0 THEN concat('`', one, '`') ELSE one END, ' and [x](', two, ')', chr(10))
+    ELSE text END AS text
+FROM m
+"""
+
+
+def mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.sql(MENTIONING.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return found.select("skill_id", F.col("skill_id").alias("dir"), "path", F.encode("text", "UTF-8").alias("content"))
+
+
+_SAME = "len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))"
+_NEAR = "array_to_string(list_concat(list_transform(range(len(a) - same), lambda i: '..'), b[same + 1:]), '/')"
+_JS = "[.](js|mjs|cjs|jsx|ts|mts|cts|tsx)$"
+
+#: Every spelling of every path against every document of its skill.
+STATUSES = f"""WITH RECURSIVE c AS ({MENTIONING}),
+docs AS (
+  SELECT skill_id, path AS src, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS f, ends_with(lower(path), '.md') AS md, text FROM c WHERE path <> 'SKILL.md'
+  UNION ALL SELECT skill_id, path, '', true, regexp_extract(text, '^---\\n.*?\\n---\\n(.*)$', 1, 's') FROM c WHERE path = 'SKILL.md'
+  UNION ALL SELECT skill_id, path, '', false, regexp_extract(text, '^---\\n(.*?)\\n---\\n', 1, 's') FROM c WHERE path = 'SKILL.md'),
+linked AS (SELECT *, CASE WHEN md THEN regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1) ELSE [] END AS links FROM docs),
+tok AS (
+  SELECT skill_id, src, f, md, text, links, CASE WHEN f = '' THEN [] ELSE string_split(f, '/') END AS a, list_distinct(list_concat(regexp_extract_all(text, '[A-Za-z0-9._/-]+'),
+    regexp_extract_all(text, '[)}}]/([A-Za-z0-9._/-]+)', 1), regexp_extract_all(text, '\\$\\{{?[A-Za-z_][A-Za-z0-9_]*/([A-Za-z0-9._/-]+)', 1), links,
+    CASE WHEN md THEN regexp_extract_all(text, '`([^`]+)`', 1) ELSE [] END)) AS t FROM linked),
+spec AS (SELECT skill_id, path, regexp_replace(path, '{_JS}', '') AS form FROM c WHERE contains(path, '/') AND regexp_matches(path, '{_JS}')),
+shaped AS (
+  SELECT skill_id, path, path AS form FROM c
+  UNION ALL SELECT s.skill_id, s.path, s.form FROM spec s WHERE NOT EXISTS (SELECT 1 FROM spec o WHERE o.skill_id = s.skill_id AND o.form = s.form AND o.path <> s.path) AND NOT EXISTS (SELECT 1 FROM c WHERE c.skill_id = s.skill_id AND c.path = s.form)),
+base AS (SELECT skill_id, path, string_split(path, '/')[-1] AS form FROM c),
+fixed AS (
+  SELECT b.skill_id, b.path, b.form FROM base b WHERE b.path <> b.form AND contains(b.form, '.') AND NOT EXISTS (SELECT 1 FROM base o WHERE o.skill_id = b.skill_id AND o.form = b.form AND o.path <> b.path)
+  UNION ALL SELECT skill_id, path, replace(left(path, len(path) - 3), '/', '.') FROM c WHERE contains(path, '/') AND ends_with(path, '.py')),
+near AS (SELECT *, {_SAME} AS same FROM (SELECT tok.*, path AS dst, form, string_split(form, '/') AS b FROM tok JOIN shaped USING (skill_id))),
+python AS (SELECT *, {_SAME} AS same FROM (SELECT tok.*, path AS dst, string_split(left(path, len(path) - 3), '/') AS b FROM tok JOIN (SELECT * FROM c WHERE ends_with(path, '.py')) USING (skill_id))),
+module AS (SELECT *, len(a) - same AS ups, b[same + 1:] AS rest, CASE WHEN b[-1] = '__init__' THEN b[same + 1:len(b) - 1] ELSE b[same + 1:] END AS package FROM python),
+e AS (
+  SELECT skill_id, src, dst FROM (SELECT *, {_NEAR} AS n FROM near)
+    WHERE list_contains(t, form) OR list_contains(t, n) OR NOT starts_with(n, '../') AND list_contains(t, concat('./', n)) OR n = '' AND regexp_matches(text, '(^|[^A-Za-z0-9._/-])($|[^A-Za-z0-9._/-])')
+  UNION SELECT skill_id, src, path FROM tok JOIN fixed USING (skill_id) WHERE list_contains(t, form)
+  UNION SELECT skill_id, src, dst FROM module WHERE list_contains(t, concat(repeat('.', CAST(ups + 1 AS BIGINT)), array_to_string(rest, '.'))) OR NOT md AND ups = 0 AND len(package) > 0 AND list_contains(t, array_to_string(package, '.'))
+  UNION SELECT skill_id, src, path FROM tok JOIN c USING (skill_id) WHERE contains(tok.text, concat('/', skill_id, '/', path))
+  UNION SELECT p.skill_id, p.path, q.path FROM c p JOIN c q ON p.skill_id = q.skill_id AND ends_with(p.path, '.py') AND ends_with(q.path, '/__init__.py') AND starts_with(p.path, left(q.path, len(q.path) - 11))),
+r(skill_id, path) AS (SELECT skill_id, path FROM c WHERE path = 'SKILL.md' UNION SELECT e.skill_id, e.dst FROM r JOIN e ON e.skill_id = r.skill_id AND e.src = r.path),
+dirs AS (SELECT DISTINCT skill_id, array_to_string(string_split(path, '/')[1:k], '/') AS form FROM (SELECT skill_id, path, unnest(range(1, len(string_split(path, '/')))) AS k FROM c)),
+pools AS (
+  SELECT DISTINCT skill_id, form FROM (SELECT *, {_NEAR} AS n FROM (SELECT *, {_SAME} AS same FROM (SELECT tok.*, form, string_split(form, '/') AS b FROM tok JOIN dirs USING (skill_id) SEMI JOIN r ON r.skill_id = tok.skill_id AND r.path = tok.src)))
+    WHERE n <> '' AND (list_contains(t, concat(form, '/')) OR list_contains(t, concat(n, '/')) OR NOT starts_with(n, '../') AND list_contains(t, concat('./', n)))),
+links AS (SELECT DISTINCT skill_id, target, regexp_replace(regexp_replace(regexp_replace(target, '#.*$', ''), '^[.]/', ''), '/$', '') AS normal FROM (SELECT skill_id, unnest(links) AS target FROM tok WHERE src = 'SKILL.md' AND md) WHERE NOT regexp_matches(target, '^[a-z]+:'))
+SELECT skill_id, CASE WHEN starts_with(target, '../') THEN 'external' WHEN EXISTS (SELECT 1 FROM c WHERE c.skill_id = links.skill_id AND (c.path = normal OR starts_with(c.path, concat(normal, '/')))) THEN 'resolved' ELSE 'broken' END AS status, target AS path FROM links
+UNION ALL SELECT skill_id, 'orphans', path FROM c WHERE path NOT IN ('SKILL.md', 'AGENTS.md') AND NOT EXISTS (SELECT 1 FROM r WHERE r.skill_id = c.skill_id AND r.path = c.path)
+  AND NOT EXISTS (SELECT 1 FROM pools WHERE pools.skill_id = c.skill_id AND starts_with(c.path, concat(pools.form, '/')))"""
+
+
+@query(STATUSES)
 def reference_graph(spark, sf_dir):
-    """All forms of mentions; one row for each orphan, broken and external path."""
-    found = analyze(files(spark, sf_dir)).select("skill_id", "references")
+    """All ways of mentioning; one row for each resolved, broken and external link and each orphan."""
+    found = analyze(mentioning(spark, sf_dir), columns=("references",))
     parts = [found.select("skill_id", F.lit(k).alias("status"), F.explode(F.col("references")[k]).alias("path")) for k in ("resolved", "broken", "external", "orphans")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -376,5 +444,5 @@ def analyze_json(spark, sf_dir):
 
 @query("SELECT skill_id, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS size FROM c GROUP BY skill_id")
 def analyze_summary(spark, sf_dir):
-    found = analyze(files(spark, sf_dir))
+    found = analyze(files(spark, sf_dir), columns=("files", "size"))
     return found.select("skill_id", F.size("files").cast("long").alias("n_files"), F.col("size.total").alias("size"))
