@@ -1,17 +1,18 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
-A document's tokens are the hashes of its distinct 5-word shingles. Hashing the tokens into GROUPS groups gives
-a point of group counts; the coordinate minima of two points sum to an upper bound of the overlap of their sets.
+A document's tokens are the hashes of its distinct 5-word shingles. Hashing the tokens into groups gives
+a point of group counts; the coordinate minima of two points sum to an upper bound of the overlap of their sets. Larger
+sets have more groups; points of unlike numbers of groups meet after the greater number is folded to the lesser.
 
 1. `_first_pass`: set sizes and set fingerprints; token frequencies for the global token order.
 2. `_second_pass`: equal sets become one node (its fingerprint). In a global order (light tokens by hash, then
    heavy ones by frequency) two sets with Jaccard similarity t share a token among the first n - ceil(t n) + 1, so
    nodes meet in the blocks of these tokens. Any global order is exact; this one keeps common passages out.
 3. Blocks: each node is compared with the least and the greatest node of its blocks. What remains open, nodes of one
-   block in different components, is searched in rounds: a node outside its block's largest component asks an R-tree
-   over the points of the block for the few best targets in other components that the bound allows; they are verified
-   exactly, and links join components before the next round. A node whose candidates are not all verified, nor in its
-   component, asks again for more of them, so every pair that could link is settled, but a group of copies never
+   block in different components, is searched in rounds: first the nodes outside their block's largest component ask an
+   R-tree over the points of the block for the few best targets in other components that the bound allows; they are
+   verified exactly, and links join components before the next round. In each further round the nodes that had more
+   such targets ask for more, until none has, so every pair that could link is settled, but a group of copies never
    yields all its pairs.
 
 Equal member lists count as one block. Blocks over SPLIT members are dealt over several tasks. Nothing is capped.
@@ -34,14 +35,16 @@ from . import shared
 from .shared import Scratch, Words, chunks, column, components, rows, shingle_sets, split_by_bucket
 
 NUM, DEN = 75, 100  # the threshold as a fraction
-GROUPS = 128  # coordinates of a point
+GROUPS = 128  # coordinates of a point, at least
+CROWD = 8  # tokens of a group, at most, on average: fuller groups are alike by chance, so larger sets have more of them
 MAX_HEAVY = 1 << 22  # a token is heavy from max(16, tokens counted / MAX_HEAVY) occurrences, which bounds their number
 HOT = 4096  # heavier tokens go through SQL, whose sums are combined before the shuffle
 SPLIT = 2048  # members of a block that one task takes
-FIRST_ASK, MORE = 4, 8  # targets that a node asks for in the first round, and times more in each further one
+FIRST_ASK, MORE = 16, 8  # targets that a node asks for in the first round, and times more in each further one
 FEW = 1 << 16  # ids that may be broadcast
 FLUSH = 1 << 20  # tokens that a task holds before it writes them to its buckets
 LEAF = 16  # points in a leaf of the R-tree
+FLAT = 64  # points that are compared without a tree
 
 FIRST = "kind int, doc_id long, n int, fp long, point binary, bucket int, blob binary"
 SECOND = "kind int, fp long, hot array<long>, bucket int, tokens binary, nodes binary"
@@ -62,14 +65,21 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> bytes:
-    """The counts of a set's groups in the least width that holds them all."""
-    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+    """The counts of a set's groups in the least width that holds them all, after a byte that says the width."""
+    groups = max(GROUPS, 1 << (-(-len(s) // CROWD) - 1).bit_length())
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def points_of(blobs) -> np.ndarray:
-    """The points as rows, in the width of the widest."""
-    return np.stack([np.frombuffer(b, f"<u{len(b) // GROUPS}") for b in blobs])
+    """The points as rows, folded to the least number of groups, in the least width that holds them."""
+    found = [np.frombuffer(b, f"<u{b[0]}", offset=1) for b in blobs]
+    groups = min(map(len, found))
+    if all(len(f) == groups and f.itemsize == 1 for f in found):
+        return np.stack(found)
+    out = np.stack([f.reshape(-1, groups).sum(axis=0, dtype=np.int64) for f in found])
+    return out.astype("<u1" if out.max() < 1 << 8 else "<u2" if out.max() < 1 << 16 else "<u4")
 
 
 def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -247,52 +257,76 @@ def _search(ask_for: int):
         """For each asking node the ask_for best targets in other components that it has not met yet; pdf holds several blocks."""
         pdf = pdf.sort_values(["block", "part"])
         fp, root, n, home, asks, block, part, met = (pdf[k].to_numpy() for k in ("fp", "root", "n", "home", "asks", "block", "part", "met"))
-        points = points_of(pdf["point"])
+        blobs = pdf["point"].to_numpy()
         edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
-        out: dict[str, list] = {"a": [], "targets": [], "scores": [], "more": []}
+        found: list[tuple] = []
+        more = np.zeros(len(fp), bool)
         for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
             here = lo + np.flatnonzero(home[lo:hi])
             ask = lo + np.flatnonzero(asks[lo:hi])
             if not len(here) or not len(ask):
                 continue
-            tree = RTree(n[here], points[here]) if len(here) > LEAF else None
-            for i in ask.tolist():
-                if tree:
-                    at, over = tree.search(int(n[i]), points[i])
-                    at = here[at]
-                else:  # one leaf
-                    at, over = here, bound(points[here], points[i])
-                    good = over >= needed(n[i], n[at])
-                    at, over = at[good], over[good]
-                other = root[at] != root[i]
-                if met[i] and other.any():
-                    other &= ~np.isin(fp[at], np.frombuffer(met[i], "<i8"))
-                at, over = at[other], over[other]
-                if not len(at):
-                    continue
-                score = over / (n[at] + n[i] - over)  # the Jaccard similarity that the bound allows
-                best = np.lexsort((fp[at], -score))[:ask_for]
-                out["a"].append(int(fp[i]))
-                out["targets"].append(fp[at[best]].tobytes())
-                out["scores"].append(score[best].astype("<f8").tobytes())
-                out["more"].append(len(at) > ask_for)
-        return pd.DataFrame({"a": pd.Series(out["a"], dtype=np.int64), **{k: pd.Series(out[k], dtype=object) for k in ("targets", "scores")}, "more": pd.Series(out["more"], dtype=bool)})
+            points = points_of(blobs[lo:hi])
+            targets = points[here - lo]
+            if len(here) <= FLAT:
+                over = np.concatenate([bound(points[ask[k : k + FLAT] - lo, None], targets) for k in range(0, len(ask), FLAT)])
+                x, y = np.nonzero((over >= needed(n[ask][:, None], n[here])) & (root[ask][:, None] != root[here]))
+                over, x, y = over[x, y], ask[x], here[y]
+            else:
+                tree = RTree(n[here], targets)
+                hits = [tree.search(int(n[i]), points[i - lo]) for i in ask.tolist()]
+                x, y, over = np.repeat(ask, [len(k) for k, _ in hits]), here[np.concatenate([k for k, _ in hits])], np.concatenate([k for _, k in hits])
+                other = root[x] != root[y]
+                x, y, over = x[other], y[other], over[other]
+            if len(x):
+                new = np.ones(len(x), bool)
+                for i in np.unique(x[np.array([m is not None for m in met[x]])]).tolist():
+                    own = x == i
+                    new[own] = ~np.isin(fp[y[own]], np.frombuffer(met[i], "<i8"))
+                x, y, over = x[new], y[new], over[new]
+                keep, many = _best(x, fp[y], over / (n[x] + n[y] - over), ask_for)  # by the Jaccard similarity that the bound allows
+                more[many] = True
+                found.append((x[keep], fp[y[keep]], (over / (n[x] + n[y] - over))[keep]))
+        x, target, score = (np.concatenate([f[k] for f in found]) if found else np.empty(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        return _told(x, fp, {"targets": target, "scores": score}, more, "a")
 
     return run
 
 
+def _best(x: np.ndarray, target: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the `most` rows of each x with the best scores, the x that have more rows)"""
+    order = np.lexsort((target, -score, x))
+    begin = np.flatnonzero(np.diff(x[order], prepend=-1))
+    rank = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+    return order[rank < most], x[order[rank == most]]
+
+
+def _told(x: np.ndarray, fp: np.ndarray, lists: dict[str, np.ndarray], more: np.ndarray, name: str) -> pd.DataFrame:
+    """A row for each node of x, which is sorted in runs: its lists as bytes, and whether it has more."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    begin = np.flatnonzero(np.diff(x, prepend=-1))
+    end = np.append(begin[1:], len(x))[: len(begin)]
+    out = {name: pd.Series(fp[x[begin]], dtype=np.int64)}
+    for k, values in lists.items():
+        values = values[order]
+        out[k] = pd.Series([values[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())], dtype=object)
+    return pd.DataFrame(out | {"more": pd.Series(more[x[begin]], dtype=bool)})
+
+
 def _choose(ask_for: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of some nodes the best targets from all of their blocks, and whether there are more."""
-        out: dict[str, list] = {"fp": [], "targets": [], "more": []}
-        for a, own in pdf.groupby("a"):
-            target, score = (np.concatenate([np.frombuffer(t, kind) for t in own[k]]) for k, kind in (("targets", "<i8"), ("scores", "<f8")))
-            target, at = np.unique(target, return_index=True)
-            best = np.lexsort((target, -score[at]))[:ask_for]
-            out["fp"].append(a)
-            out["targets"].append(target[best].tobytes())
-            out["more"].append(bool(own["more"].any()) or len(target) > ask_for)
-        return pd.DataFrame({"fp": pd.Series(out["fp"], dtype=np.int64), "targets": pd.Series(out["targets"], dtype=object), "more": pd.Series(out["more"], dtype=bool)})
+        fp, row = np.unique(pdf["a"].to_numpy(np.int64), return_inverse=True)
+        target, score = (np.concatenate([np.frombuffer(t, kind) for t in pdf[k]]) for k, kind in (("targets", "<i8"), ("scores", "<f8")))
+        x = np.repeat(row, [len(t) // 8 for t in pdf["targets"]])
+        order = np.lexsort((target, x))
+        once = order[(np.diff(x[order], prepend=-1) != 0) | (np.diff(target[order], prepend=0) != 0)]
+        x, target, score = x[once], target[once], score[once]
+        keep, many = _best(x, target, score, ask_for)
+        more = np.bincount(row, pdf["more"].to_numpy(bool), len(fp)) > 0
+        more[many] = True
+        return _told(x[keep], fp, {"targets": target[keep]}, more, "fp")
 
     return run
 
@@ -308,7 +342,8 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            pdf = pdf[bound(points_of(pdf["point_a"]), points_of(pdf["point_b"])) >= needed(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy())]
+            over = np.array([int(bound(*points_of(both))) for both in zip(pdf["point_a"], pdf["point_b"])])
+            pdf = pdf[over >= needed(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy())]
         yield pdf[["a", "b"]]
 
 
@@ -326,6 +361,24 @@ def _mark(ids: np.ndarray, bits: int) -> np.ndarray:
     return (shared.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs, which has a text, with fp: the fingerprint of each row's set."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    if "fp" in docs.columns:
+        raise ValueError("docs has a column fp")
+    out = StructType([*docs.schema.fields, StructField("fp", LongType())])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(s) for _, texts in chunks(batch) for s in shingle_sets(Words(texts))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], schema=schema)
+
+    return docs.mapInArrow(run, out)
+
+
 def _sets_of(marks, bits: int):
     schema = pa.schema([("fp", pa.int64()), ("tokens", pa.binary())])
 
@@ -422,38 +475,29 @@ def _merge(scratch: Scratch, roots: DataFrame | None, links: DataFrame, name: st
 def _round(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame, roots: DataFrame, met: DataFrame | None, step: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(fp, targets, more) of the asking nodes, and the links among them and their targets.
 
-    Round 0: nodes outside the largest component of a block ask in the largest of these blocks. Round 1: in all of them.
-    From then on nodes that have more targets ask in all of their blocks.
+    Without met, nodes outside the largest component of a block ask; then those of met that have more targets, in all of their blocks.
     """
     name, ask_for = f"round{step}", FIRST_ASK * MORE**step
     sizes = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
     placed = members.join(sizes, "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
-    placed = scratch.table(placed, f"{name}-placed")
-    open_ = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"), F.max(F.struct("size", "root")).alias("m")).where("lo <> hi").select("block", "of", F.col("m.root").alias("main"))
-    open_ = scratch.table(open_, f"{name}-open")
-    inside = placed.join(open_, "block")
-    if step < 2:
-        asking = inside.where("root <> main").select("block", "of", "fp")
-        if step == 0:
-            asking = asking.groupBy("fp").agg(F.max(F.struct("of", "block")).alias("m")).select("fp", F.col("m.block").alias("block"))
-    else:
-        asking = inside.join(met.where("more").select("fp"), "fp", "left_semi")
-    asking = asking.select("block", "fp", F.lit(True).alias("asks"))
     if met is not None:
-        asking = asking.join(met.select("fp", F.col("targets").alias("met")), "fp", "left")
+        placed = placed.join(met.where("more").select("fp", F.col("targets").alias("met")), "fp", "left")
     else:
-        asking = asking.withColumn("met", F.lit(None).cast("binary"))
-    asking = scratch.table(asking, f"{name}-asking")
-    inside = inside.join(asking.select("block").distinct(), "block", "left_semi").join(asking, ["block", "fp"], "left").join(nodes.select("fp", "n", "point"), "fp")
-    inside = inside.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("parts", F.expr(f"cast(ceil(of / {SPLIT}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
+        placed = placed.withColumn("met", F.lit(None).cast("binary"))
+    placed = scratch.table(placed, f"{name}-placed")
+    open_ = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"), F.max(F.struct("size", "root")).alias("m"), F.count("met").alias("asking"))
+    open_ = open_.where("lo <> hi" if met is None else "lo <> hi and asking > 0").select("block", "of", F.col("m.root").alias("main"))
+    inside = placed.join(open_, "block").withColumn("asks", F.expr("root <> main" if met is None else "met is not null"))
+    inside = inside.select("block", "fp", "root", "of", "asks", "met").join(nodes.select("fp", "n", "point"), "fp")
+    inside = inside.withColumn("parts", F.expr(f"cast(ceil(of / {SPLIT}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
     inside = inside.withColumn("part", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(own))"))).withColumn("home", F.expr("part = own"))
     inside = inside.select("block", "part", "fp", "root", "home", "asks", "n", "point", "met")
     found = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search(ask_for), "a long, targets binary, scores binary, more boolean")
     found = found.groupBy(F.expr(f"cast(pmod(xxhash64(a), {buckets}) as int)").alias("bucket")).applyInPandas(_choose(ask_for), "fp long, targets binary, more boolean")
     found = scratch.table(found, f"{name}-asked-for")
-    near = scratch.table(found.mapInPandas(_pairs, "a long, b long").distinct(), f"{name}-pairs")
+    near = scratch.table(found.mapInPandas(_pairs, "a long, b long"), f"{name}-pairs")  # a pair whose nodes both ask comes twice
     links = _links(scratch, sets, near, name)
-    scratch.drop(*(f"{name}-{x}" for x in ("placed", "open", "asking", "pairs")))
+    scratch.drop(f"{name}-placed", f"{name}-pairs")
     return found, links
 
 
@@ -463,13 +507,13 @@ def _settle(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame,
     while True:
         found, links = _round(scratch, sets, nodes, members, roots, met, step, buckets)
         roots = _merge(scratch, roots, links, f"merge{step}")
-        if step and not found.where("more").limit(1).count():
+        if not found.where("more").limit(1).count():
             return roots
         if met is None:
             met = found
         else:
             before = met.select("fp", F.col("targets").alias("t"))
-            met = found.join(before, "fp", "left").select("fp", F.concat("targets", F.coalesce("t", F.lit(b""))).alias("targets"), "more")
+            met = found.where("more").join(before, "fp", "left").select("fp", F.concat("targets", F.coalesce("t", F.lit(b""))).alias("targets"), "more")
             met = scratch.table(met, f"met{step}")
         step += 1
 
@@ -500,7 +544,7 @@ def _tell_hot(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
+    """doc_id, n_shingles, component_id and fp (the fingerprint of its set) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     buckets = shared.shuffle_buckets(spark)
@@ -527,7 +571,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     named = nodes.select("fp", "doc_id").join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.table(named.join(smallest, "root").select("fp", "component_id"), "named")
-    scratch.drop("blocks", "bands", "members")
+    scratch.drop_but("known", "named")
     return known.join(named, "fp", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "fp"
     )

@@ -25,9 +25,11 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
+    """The folder all executors see; a temporary one only where driver and executors are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tomewise-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,10 +41,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -50,6 +54,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def drop_but(self, *names: str) -> None:
+        """Only tables that a lazy result still reads stay."""
+        self.drop(*sorted(self.names.difference(names)))
 
 
 def crc_of_id(column: str = "doc_id"):
@@ -57,9 +66,12 @@ def crc_of_id(column: str = "doc_id"):
 
 
 def shuffle_buckets(spark: SparkSession) -> int:
-    """Buckets of the block shuffles: four for each shuffle partition, a power of two from 256 to 4096."""
+    """Buckets of the block shuffles: four for each shuffle partition, a power of two, 256 at least.
+
+    The partitions are sized for the data, so a bucket holds a quarter of what a task takes, however large the input is.
+    """
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(4096, max(256, 1 << (wanted - 1).bit_length())))
+    return max(256, 1 << (wanted - 1).bit_length())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -171,17 +183,17 @@ def split_by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) of the nodes that have an edge (a, b); root is the least node of the component.
+    """(node, root) of the nodes that have an edge (a, b), but for the roots; root is the least node of the component.
 
     Alternating large-star and small-star steps over tables in the shared folder; the driver sees counts only.
     """
     spark = scratch.spark
-    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), f"{name}-0")
     before, step = None, 0
     while True:
         mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(v as decimal(38,0)))")).first()
-        if mark == before or mark[0] == 0:
-            break
+        if mark == before or mark[0] == 0:  # all edges are stars
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before, step = mark, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -189,7 +201,5 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = scratch.table(small, f"{name}-{step}")
-        if step > 1:
-            scratch.drop(f"{name}-{step - 1}")
+        scratch.drop(f"{name}-{step - 1}")
         now = after
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
