@@ -1,12 +1,15 @@
 """Quality rules with a verdict on the host.
 
 Each text is measured once; rules fail or pass it. By host (`source`) the failures are summed, and the failure rate is
-shrunk towards all hosts by a beta prior whose two parameters come from the hosts' own rates (method of moments). The
-host's verdict goes back to its documents: a document that breaks a soft rule stays only on a host whose shrunk rate
-is clearly under the prior's mean, and one that breaks none always stays.
-
-Defined results: a null or empty text has no words and fails; null is a host of its own; rows that repeat a doc_id
-are judged row by row; measures are of the whole text.
+shrunk towards all hosts by a beta prior fitted to the hosts' counts: its mean is the overall rate, and its spread is
+what the hosts' rates vary beyond binomial noise, so hosts of few documents tell nothing by chance. A host is trusted
+where its shrunk rate is clearly under the prior's mean, and distrusted where it is clearly over it: by CLEAR standard
+deviations of the posterior and by MARGIN of the mean. The verdict goes back to the host's documents: one that breaks
+a soft rule stays on a trusted host, one that breaks half of a soft rule's limit goes on a distrusted one.
+
+Defined results: a null or empty text has no words and fails; null is a host of its own; rows that repeat a doc_id, a
+null one too, are judged and counted row by row; measures are of the whole text; of other columns only the host is
+read; an empty table gives an empty result; where all hosts fail alike none is trusted or distrusted.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ MAX_REPEAT = 30  # per cent of the words in repeated windows
 MAX_SYMBOLS = 10  # soft: symbols per hundred words
 MAX_DUP_LINES = 30  # soft: per cent of the lines
 WORD_LENGTH = (2, 15)  # soft: mean code points of a word
-TRUSTED = 0.5  # of the prior's mean: a host under it is trusted
+CLEAR = 1.645  # standard deviations of a host's posterior between its rate and the prior's mean
+MARGIN = 0.1  # and the least difference, as a share of the mean
+STRICT = 0.5  # of the soft rules' limits, for documents of distrusted hosts
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -86,28 +91,33 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words")
 
 
-def soft_failed() -> Column:
+def soft_failed(limits: float = 1.0) -> Column:
     low, high = WORD_LENGTH
-    return F.expr(f"100 * n_symbols > {MAX_SYMBOLS} * n_words or 100 * n_dup_lines > {MAX_DUP_LINES} * n_lines or word_chars < {low} * n_words or word_chars > {high} * n_words")
+    return F.expr(f"100 * n_symbols > {limits * MAX_SYMBOLS} * n_words or 100 * n_dup_lines > {limits * MAX_DUP_LINES} * n_lines or word_chars < {low} * n_words or word_chars > {high} * n_words")
 
 
 def host_verdicts(judged: DataFrame) -> DataFrame:
-    """Per host: n, n_failed, shrunk rate, prior mean and trusted; judged has host and failed."""
+    """Per host: n, n_failed, rate (shrunk), prior_mean and verdict (trusted, distrusted or neither); judged has host and failed."""
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    # moments of the hosts' rates; one row, joined as such
-    prior = hosts.agg(F.avg(F.expr("n_failed / n")).alias("m"), F.coalesce(F.var_samp(F.expr("n_failed / n")), F.lit(0.0)).alias("v"))
-    prior = prior.withColumn("k", F.expr("greatest(if(v > 0, m * (1 - m) / v - 1, 1000.0), 2.0)"))
+    # moments of the hosts' counts; one row, joined as such
+    prior = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("docs"), F.sum(F.expr("double(n) * n")).alias("squares"), (F.sum("n_failed") / F.sum("n")).alias("m"), F.sum(F.expr("double(n_failed) * n_failed / n")).alias("spread"))
+    # what the hosts differ by, without the variance that equal hosts would show
+    prior = prior.withColumn("beyond", F.expr("(spread - docs * m * m - (hosts - 1) * m * (1 - m)) / nullif(docs - squares / docs, 0)"))
+    prior = prior.withColumn("k", F.expr("if(coalesce(beyond, 0) > 0, greatest(m * (1 - m) / beyond - 1, 0.001), 1e6)")).select("m", "k")
     shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", F.expr("(n_failed + m * k) / (n + k)"))
-    return shrunk.select("host", "n", "n_failed", "rate", F.col("m").alias("prior_mean"), F.expr(f"rate < {TRUSTED} * m").alias("trusted"))
+    shrunk = shrunk.withColumn("apart", F.expr(f"greatest({CLEAR} * sqrt(rate * (1 - rate) / (n + k + 1)), {MARGIN} * m)"))
+    verdict = F.expr("case when rate < m - apart then 'trusted' when rate > m + apart then 'distrusted' else 'neither' end")
+    return shrunk.select("host", "n", "n_failed", "rate", F.col("m").alias("prior_mean"), verdict.alias("verdict"))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the measures, base_failed, kept and host_rate of each row."""
+    """doc_id, the measures, base_failed, kept, host_rate and host_verdict of each row."""
     from .shared import Scratch
 
     scratch = Scratch(docs.sparkSession, "quality")
-    found = measured(docs, host).withColumn("base_failed", base_failed()).withColumn("soft", soft_failed()).withColumn("failed", F.expr("base_failed or soft"))
+    found = measured(docs, host).withColumn("base_failed", base_failed()).withColumn("soft", soft_failed()).withColumn("strict", soft_failed(STRICT)).withColumn("failed", F.expr("base_failed or soft"))
     found = scratch.table(found, "measured")
-    hosts = host_verdicts(found).select(F.col("host").alias("h"), "trusted", F.col("rate").alias("host_rate"))
+    hosts = host_verdicts(found).select(F.col("host").alias("h"), "verdict", F.col("rate").alias("host_rate"))
     out = found.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
-    return out.select("doc_id", *MEASURES[:-1], "base_failed", F.expr("not base_failed and (not soft or trusted)").alias("kept"), "host_rate")
+    kept = F.expr("not base_failed and case verdict when 'trusted' then true when 'distrusted' then not strict else not soft end")
+    return out.select("doc_id", *MEASURES[:-1], "base_failed", kept.alias("kept"), "host_rate", F.col("verdict").alias("host_verdict"))
