@@ -3,10 +3,14 @@
 Base kinds (email, ip, card, phone) come from their definitions and always stay. Further generators propose whatever
 holds digits, an at sign or a key=value pair; the trees see the format of a span and the words before it, are fitted
 on weak labels (base spans and what covers the value of a known credential format, against the rest) from a bounded sample of documents, and are
-calibrated on rows kept apart, which also set the threshold. A selected span is kept where it overlaps no base span; of two, the one that holds the
+calibrated on rows kept apart, which also set the threshold. So the labels of the base kinds come from the same patterns
+as the base spans, and what the trees add are credentials and what looks like them. A selected span is kept where it overlaps no base span; of two, the one that holds the
 other.
 
-Defined results: null and empty texts have no spans; a text of any length is read whole.
+Defined results: null and empty texts have no spans; a text of any length is read whole; rows that repeat a doc_id, a
+null one too, are answered row by row; of overlapping selected spans with one probability the one that begins first
+stays, then the longer one; redaction keeps all columns, others than text and n_chars as they are; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .boost import BoostedTrees, threshold
 from .shared import column, rows
 
 FIT_DOCS = 20_000  # documents, in expectation, whose candidates the trees are fitted on
+FIT_ROWS = 100_000  # and of these candidates those of the least hashes
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "other"
 CONTEXT = 32  # characters before a span that the features see
@@ -155,8 +160,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Selector:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         apart = np.arange(len(x)) % 4 == 3
-        self.trees = BoostedTrees().fit(x[~apart], y[~apart]).calibrate(x[apart], y[apart])
-        self.least = threshold(self.trees.predict(x[apart]), y[apart])
+        if all(0 < y[part].sum() < part.sum() for part in (apart, ~apart)):
+            self.trees = BoostedTrees().fit(x[~apart], y[~apart]).calibrate(x[apart], y[apart])
+            self.least = threshold(self.trees.predict(x[apart]), y[apart])
+        else:  # too few of a kind for a part of their own
+            self.trees, self.least = BoostedTrees().fit(x, y), 0.5
 
     def select(self, text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Added spans: those within another come last, then by falling probability; none overlaps a base span or one before it."""
@@ -179,14 +187,15 @@ class Selector:
 
 
 def fit(docs: DataFrame) -> Selector | None:
-    """None where the sample has too few spans of either kind."""
+    """Fitted on what the sample has; None only where no text of it has a candidate."""
     n = docs.count()
     share = min(1.0, FIT_DOCS / max(n, 1))
     some = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < share).select("text")
-    found = sorted((r.x, r.y) for r in some.mapInArrow(_labelled, "x binary, y int").collect())
-    y = np.array([f[1] for f in found])
-    if len(y) < 80 or not 20 <= y.sum() <= len(y) - 20:
+    some = some.mapInArrow(_labelled, "x binary, y int").orderBy(F.xxhash64("x", "y")).limit(FIT_ROWS)  # the bound of the fit
+    found = sorted((bytes(r.x), r.y) for r in some.collect())
+    if not found:
         return None
+    y = np.array([f[1] for f in found])
     order = np.random.default_rng(7).permutation(len(y))
     return Selector(np.stack([np.frombuffer(f[0]) for f in found])[order], y[order])
 
