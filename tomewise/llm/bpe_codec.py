@@ -6,7 +6,9 @@ words on both sides together, and where that disagrees the chunks are encoded as
 
 Chunks of Latin letters go through tiktoken with the same merges, the rest and special tokens through tokenizers.
 
-Defined results: null text is empty: no ids, the hashes of nothing.
+Defined results: null text is empty: no ids, the hashes of nothing; rows that repeat a doc_id, a null one too, are
+answered row by row; columns besides doc_id and text are not read; an empty table gives an empty result; a text of any
+length is encoded whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .shared import chunks, column, rows
 
 WINDOW = 16  # bytes that the rolling hash sees
 EVERY = 96  # a word start in so many is a cut
-CACHE_BYTES = 96 << 20  # of chunks and their ids that a worker keeps
+CACHE_BYTES = 96 << 20  # of chunks and their ids that a worker keeps, in two generations
 OVERHEAD = 700  # bytes of an entry besides its text and ids
 
 SPECIAL = b"<|endoftext|>"
@@ -61,6 +63,7 @@ class Codec:
         self.bytes_of = [table.get(i, b"") for i in range(max(table) + 1)]
         self.digits_of = [str(i) for i in range(max(table) + 1)]
         self.kept: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
         self.size = 0
 
     def encode(self, text: bytes) -> list[int]:
@@ -72,18 +75,20 @@ class Codec:
         """(ids, decimal ids, decoded bytes, first word, its number of ids, last word, its number of ids)"""
         found = self.kept.get(text)
         if found is None:
-            ids = self.encode(text)
-            head = _first_cut(text)
-            tail = _last_cut(text)
-            digits, values = self.digits_of, self.bytes_of
-            found = (ids, ",".join([digits[i] for i in ids]), b"".join([values[i] for i in ids]), text[:head], self._covering(ids, head), text[tail:], self._covering(reversed(ids), len(text) - tail))
-            self.size += OVERHEAD + 3 * len(text) + 12 * len(ids)
-            if self.size > CACHE_BYTES:
-                self.kept.clear()
-                self.size = OVERHEAD + 3 * len(text) + 12 * len(ids)
+            found = self.older.get(text) or self._told(text)
+            size = OVERHEAD + 3 * len(text) + 12 * len(found[0])
+            self.size += size
+            if 2 * self.size > CACHE_BYTES:  # what was not asked for since the last time goes
+                self.older, self.kept, self.size = self.kept, {}, size
             self.kept[text] = found
         return found
 
+    def _told(self, text: bytes) -> tuple:
+        ids = self.encode(text)
+        head, tail = _first_cut(text), _last_cut(text)
+        digits, values = self.digits_of, self.bytes_of
+        return ids, ",".join([digits[i] for i in ids]), b"".join([values[i] for i in ids]), text[:head], self._covering(ids, head), text[tail:], self._covering(reversed(ids), len(text) - tail)
+
     def _covering(self, ids, size: int) -> int:
         """How many of the ids hold the first size bytes; beyond all, and so never agreeing, if none ends there."""
         n = 0
