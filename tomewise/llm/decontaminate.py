@@ -8,11 +8,13 @@
    answer, which settles paraphrases.
 5. Exact copies need no candidate: each place of a passage's rarest word is compared with the passage word by word.
 
-The passages are worked through in blocks of BLOCK, so what is broadcast has a bound; all windows of all documents
-are searched for every block.
+The corpus is read once for the counts of all passages, and once for each PASS blocks of BLOCK passages, whose latent
+spaces are broadcast together; so what a task holds has a bound. All windows of all documents are searched for every block.
 
 Defined results: null, empty or word-free texts and passages match nothing; a passage under MIN_WORDS words must
-occur word by word; repeated rows are answered row by row; a null doc_id is allowed.
+occur word by word; repeated rows are answered row by row, repeated passages once; a null doc_id is allowed, and so is
+a null item_id; other columns are kept by `clean` and not read by `leaks`; without documents or passages there are no
+leaks.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .shared import Words, chunks, column, rows
 
 RANK = 512  # dimensions of the latent space, at most
 BLOCK = RANK  # passages of one block, at most; more would lose passages whose energy lies outside the space
+PASS = 4  # blocks that are searched for in one reading of the corpus
 STRIDE = 16  # words between windows
 CELLS = 4096  # strides that are projected at a time
 COMMON = 1e-3  # terms with a larger share of the corpus' words have no weight
@@ -62,6 +65,12 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def place(terms: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each word in the sorted terms, -1 for other words."""
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    return np.where(terms[at] == h, at, -1)
+
+
 class Passages:
     """One block of passages with their terms."""
 
@@ -76,31 +85,27 @@ class Passages:
         self.strides = np.array([-(-len(w) // STRIDE) + 1 for w in self.words])
 
     def place(self, h: np.ndarray) -> np.ndarray:
-        """The term's place, -1 for other words."""
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[at] == h, at, -1)
+        return place(self.terms, h)
 
 
-def term_counts(docs: DataFrame, passages: Passages) -> tuple[np.ndarray, int]:
-    """How often each term occurs in the corpus, and the words of the corpus."""
-    told = docs.sparkSession.sparkContext.broadcast(passages)
+def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """How often each of the sorted terms occurs in the corpus, and the words of the corpus."""
+    told = docs.sparkSession.sparkContext.broadcast(terms)
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = told.value
-        counts, total = np.zeros(len(own.terms), np.int64), 0
+        counts, total = np.zeros(len(told.value), np.int64), 0
         for batch in batches:
             for _, texts in chunks(batch):
                 h = words_of(texts).hashes()
-                at = own.place(h)
+                at = place(told.value, h)
                 counts += np.bincount(at[at >= 0], minlength=len(counts))
                 total += len(h)
         hit = np.flatnonzero(counts)
         yield rows(schema, term=np.append(hit, -1), n=np.append(counts[hit], total))
 
-    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts, total = np.zeros(len(passages.terms)), 0
-    for term, n in found:
+    counts, total = np.zeros(len(terms)), 0
+    for term, n in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         if term < 0:
             total = n
         else:
@@ -276,11 +281,8 @@ class Searcher:
         return (share, answer) if share >= LCS or answer >= ANSWER else None
 
 
-def prepare(docs: DataFrame, items: list[tuple[int, str]]) -> Searcher | None:
-    passages = Passages(items)
-    if not passages.ids:
-        return None
-    counts, total = term_counts(docs, passages)
+def prepare(spark, passages: Passages, counts: np.ndarray, total: int) -> Searcher:
+    """counts: of the passages' terms in the corpus."""
     idf = np.log((total + 1.0) / (counts + 1.0))
     common = counts > max(COMMON * total, 50)
     weights = []
@@ -293,47 +295,62 @@ def prepare(docs: DataFrame, items: list[tuple[int, str]]) -> Searcher | None:
         lifted[at] |= rare < 5  # a passage of common words keeps them all
     idf = np.where(common & ~lifted, 0.0, np.maximum(idf, 1e-3))
     rows_ = [(at[idf[at] > 0], (tf * idf[at])[idf[at] > 0]) for at, tf, _ in weights]
-    coordinates, basis = randomised_svd(docs.sparkSession, rows_, len(passages.terms), RANK)
+    coordinates, basis = randomised_svd(spark, rows_, len(passages.terms), RANK)
     return Searcher(passages, idf, coordinates, basis)
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id") -> Iterator[list[tuple[int, str]]]:
-    rows_ = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+def blocks(benchmark: DataFrame, item_id: str = "item_id") -> Iterator[list[tuple[int | None, str]]]:
+    rows_ = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n = max(1, -(-rows_.count() // BLOCK))
     for k in range(n):
-        found = rows_.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        found = sorted((r.item_id, r.text) for r in found)
+        found = rows_.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        found = sorted(((r.item_id, r.text) for r in found), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         for a in range(0, len(found), BLOCK):  # a hash bucket may hold more than its share
             yield found[a : a + BLOCK]
 
 
+def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Searcher]]:
+    """The searchers of all passages, those of one reading of the corpus together."""
+    parts = [p for p in map(Passages, blocks(benchmark)) if p.ids]
+    if not parts:
+        return
+    terms = np.unique(np.concatenate([p.terms for p in parts]))
+    counts, total = term_counts(docs, terms)
+    for a in range(0, len(parts), PASS):
+        yield [prepare(docs.sparkSession, p, counts[place(terms, p.terms)], total) for p in parts[a : a + PASS]]
+
+
+def found_in(told: list[Searcher], texts: list[bytes]) -> Iterator[tuple[int, int | None, tuple[float, float, float]]]:
+    """(text, item_id, (lcs, answer, cosine)) of the passages that the texts hold."""
+    words = words_of(texts)
+    h = words.hashes()
+    for searcher in told:
+        for (d, i), score in sorted(searcher.search(h, words.first).items()):
+            yield d, searcher.passages.ids[i], score
+
+
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("lcs_ratio", pa.float64()), ("answer_ratio", pa.float64()), ("cosine", pa.float64())])
 
 
+DDL = "doc_id long, item_id long, lcs_ratio double, answer_ratio double, cosine double"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and passage that it holds: doc_id, item_id, lcs_ratio, answer_ratio, cosine."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for items in blocks(benchmark):
-        searcher = prepare(docs, items)
-        if searcher is None:
-            continue
-        told = docs.sparkSession.sparkContext.broadcast(searcher)
+    out = docs.sparkSession.createDataFrame([], DDL)
+    for some in searchers(docs, benchmark):
+        told = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = column(batch, "doc_id").to_pylist()
                 for piece, texts in chunks(batch):
-                    found = words_of(texts)
-                    best = told.value.search(found.hashes(), found.first)
-                    if best:
-                        out = [(ids[piece.start + d], told.value.passages.ids[i], *score) for (d, i), score in sorted(best.items())]
-                        yield rows(SCHEMA, **{f.name: [o[k] for o in out] for k, f in enumerate(SCHEMA)})
-
-        parts.append(docs.mapInArrow(run, "doc_id long, item_id long, lcs_ratio double, answer_ratio double, cosine double"))
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_ratio double, answer_ratio double, cosine double")
-    for part in parts[1:]:
-        out = out.unionByName(part)
+                    found = [(ids[piece.start + d], item, *score) for d, item, score in found_in(told.value, texts)]
+                    if found:
+                        yield rows(SCHEMA, **{f.name: [o[k] for o in found] for k, f in enumerate(SCHEMA)})
+
+        out = out.unionByName(docs.mapInArrow(run, DDL))
     return out
 
 
@@ -343,18 +360,14 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(docs.schema)
     out = docs
-    for items in blocks(benchmark):
-        searcher = prepare(docs.select("text"), items)
-        if searcher is None:
-            continue
-        told = docs.sparkSession.sparkContext.broadcast(searcher)
+    for some in searchers(docs.select("text"), benchmark):
+        told = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for piece, texts in chunks(batch):
-                    found = words_of(texts)
-                    for d, _ in told.value.search(found.hashes(), found.first):
+                    for d, _, _ in found_in(told.value, texts):
                         keep[piece.start + d] = False
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, schema=schema)
 
