@@ -6,7 +6,9 @@ which one-versus-rest kernel ridge regression is fitted; texts are scored in bat
 
 The classifier is fitted on a bounded sample: PER_LANGUAGE labelled rows of each language. All texts are scored whole.
 
-Defined results: null text or one without a letter gives `und` with score 0; without labelled rows every text does.
+Defined results: null text or one without a letter gives `und` with score 0; without labelled rows every text does; of
+languages with one score the first by name is taken; rows that repeat a doc_id, a null one too, are answered row by
+row; other columns are not read, and kept by `keep_known`; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Encoding: words of Latin letters go through tiktoken with the merges of the word
 for the word end); other texts, and those with special tokens, through tokenizers.
 
 Defined results: a null text has the end id alone; null doc_ids come first; rows that repeat a doc_id follow one
-another in the order of their texts' hashes.
+another in the order of their texts' hashes; a text of any length is encoded whole; columns besides doc_id and text
+are not read; an empty table gives no ids and an empty result.
 """
 
 from __future__ import annotations
@@ -139,8 +140,9 @@ class TokenReader:
     def sequence(self, i: int) -> np.ndarray:
         return self._batch(i // BATCH, "ids").to_numpy()[i % BATCH * LENGTH :][:LENGTH]
 
-    def mask(self, i: int) -> np.ndarray:
-        return self._batch(i // BATCH, "mask").slice(i % BATCH * LENGTH, LENGTH).to_numpy(zero_copy_only=False)
+    def mask(self, i: int) -> pa.BooleanArray:
+        """A view of the file's bits; NumPy has no type for them, so what turns it into an array of NumPy copies it."""
+        return self._batch(i // BATCH, "mask").slice(i % BATCH * LENGTH, LENGTH)
 
     def span(self, start: int, n: int) -> np.ndarray:
         size, parts = BATCH * LENGTH, []
@@ -195,7 +197,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each text, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and file of each text, from the files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,10 +209,10 @@ def read(manifest: DataFrame) -> DataFrame:
                     for k in range(index.num_record_batches):
                         batch = index.get_batch(k)
                         crc = [zlib.crc32(reader.span(a, n).astype("<u4").tobytes()) for a, n in zip(batch["start"].to_pylist(), batch["n_tokens"].to_pylist())]
-                        yield pd.DataFrame({"doc_id": pd.Series(batch["doc_id"].to_pylist(), dtype="Int64"), "start": batch["start"].to_numpy() + base, "n_tokens": batch["n_tokens"].to_numpy(), "ids_crc32": crc})
+                        yield pd.DataFrame({"doc_id": pd.Series(batch["doc_id"].to_pylist(), dtype="Int64"), "start": batch["start"].to_numpy() + base, "n_tokens": batch["n_tokens"].to_numpy(), "ids_crc32": crc, "file": file})
 
     n = max(1, manifest.count())
-    return manifest.repartition(n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:
