@@ -139,9 +139,8 @@ def cuts(texts: list[bytes]) -> list[list[int]]:
     at = np.flatnonzero((buf[:-1] == 0x20) & _STARTS_WORD[buf[1:]])
     doc = np.searchsorted(begin, at, side="right") - 1
     at = at[at - begin[doc] >= WINDOW]
-    up, down = shared._powers(len(buf))
+    total, down = shared.prefix_sums(buf)
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up)])
         h = shared.mix((total[at] - total[at - WINDOW]) * down[at - WINDOW])
     at = at[h % np.uint64(EVERY) == 0]
     edge = np.searchsorted(at, begin)

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call takes; a single longer text is taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -94,6 +95,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def prefix_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the bytes before each place, weighted by powers; the powers' inverses): equal bytes have equal scaled differences."""
+    up, down = _powers(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    own = total[1:]
+    with np.errstate(over="ignore"):
+        own[:] = buf
+        own += np.uint64(1)
+        own *= up
+        np.cumsum(own, out=own)
+    return total, down
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of some texts, side by side.
 
@@ -115,9 +129,8 @@ class Words:
         n = len(self.buf)
         if not len(self.start):
             return np.empty(0, np.uint64)
-        up, down = _powers(n)
+        total, down = prefix_sums(self.buf)
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up)])
             return mix((total[self.end] - total[self.start]) * down[self.start])
 
 
@@ -147,16 +160,13 @@ def shingle_sets(words: Words, size: int = 5) -> list[np.ndarray]:
 def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[slice, list[bytes]]]:
     """Slices of a batch with the UTF-8 texts (null: empty), of about CHUNK_BYTES each."""
     values = batch.column(batch.schema.get_field_index(text))
-    values = values.cast(pa.large_binary()).to_pylist()
-    begin, held, size = 0, [], 0
-    for i, value in enumerate(values):
-        held.append(value or b"")
-        size += len(held[-1])
-        if size >= CHUNK_BYTES:
-            yield slice(begin, i + 1), held
-            begin, held, size = i + 1, [], 0
-    if held:
-        yield slice(begin, len(values)), held
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin, done = 0, 0
+    while begin < len(values):
+        end = min(int(np.searchsorted(ends, done + CHUNK_BYTES)) + 1, len(values))
+        part = values.slice(begin, end - begin).cast(pa.large_binary()).to_pylist()
+        yield slice(begin, end), [value or b"" for value in part]
+        begin, done = end, int(ends[end - 1])
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
