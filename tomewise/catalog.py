@@ -375,6 +375,120 @@ def description_limits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (size > K.DESCRIPTION_LIMIT).alias("too_long"), F.concat(F.lit("description is "), size.cast("string"), F.lit(" characters; maximum is 1024.")).alias("message"))
 
 
+#: One skill for each document, with everything that a diagnostic can complain of.
+FAULTY = """
+WITH d AS (SELECT doc_id, text, concat('s', CAST(doc_id AS STRING)) AS skill_id FROM documents),
+f AS (
+  SELECT *, doc_id % 13 = 0 AS bare, doc_id % 11 = 0 AS broken, doc_id % 3 = 0 AS licensed, doc_id % 2 = 0 AS readme, doc_id % 3 = 1 AS extra, doc_id % 97 = 0 AS big,
+    CASE doc_id % 9 WHEN 1 THEN NULL WHEN 2 THEN repeat('a', 65) WHEN 3 THEN 'Bad--Name' WHEN 4 THEN 'demo' WHEN 5 THEN 'other' ELSE skill_id END AS name,
+    CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN repeat('de', 600) ELSE concat('Skill of ', skill_id) END AS description,
+    CASE WHEN doc_id % 5 = 0 THEN repeat('c', 501) END AS compatibility, CASE doc_id % 8 WHEN 0 THEN 'mit' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'my own' END AS license,
+    CASE doc_id % 6 WHEN 0 THEN 'MIT License' WHEN 3 THEN concat('Apache License', chr(10), 'Version 2.0') ELSE 'Some license' END AS license_text,
+    concat(chr(10), '# Title ##', chr(10), chr(10), CASE WHEN doc_id % 6 = 1 THEN 'Read `extra.txt`. ' ELSE '' END, CASE doc_id % 12 WHEN 0 THEN '[gone](gone.md) ' WHEN 1 THEN '[up](../x.md) ' ELSE '' END, 'See big.bin',
+      chr(10), CASE WHEN doc_id % 10 = 0 THEN repeat('word ', 4000) ELSE '' END, CASE WHEN doc_id % 17 = 0 THEN repeat(chr(10), 600) ELSE '' END, text) AS body
+  FROM d)
+SELECT *, concat('---', chr(10), CASE WHEN broken THEN 'a: [' ELSE concat(
+    CASE WHEN name IS NULL THEN '' ELSE concat('name: ', name, chr(10)) END, CASE WHEN description IS NULL THEN '' ELSE concat('description: ', description, chr(10)) END,
+    CASE WHEN compatibility IS NULL THEN '' ELSE concat('compatibility: ', compatibility, chr(10)) END, CASE WHEN license IS NULL THEN '' ELSE concat('license: ', license, chr(10)) END,
+    CASE doc_id % 4 WHEN 1 THEN concat('metadata:', chr(10), '  version: "1.0"', chr(10)) WHEN 2 THEN concat('metadata:', chr(10), '  version: 1.10', chr(10)) WHEN 3 THEN concat('version: "3"', chr(10), 'metadata:', chr(10), '  n: [1]', chr(10)) ELSE '' END,
+    CASE WHEN doc_id % 6 = 0 THEN concat('allowed-tools: Read Grep', chr(10)) ELSE '' END, 'own: true') END, chr(10), '---', chr(10), body) AS skill
+FROM f
+"""
+FAULTY_FILES = """SELECT skill_id, 'SKILL.md' AS path, skill AS text FROM f WHERE NOT bare UNION ALL SELECT skill_id, 'README.md', 'Read me.' FROM f WHERE readme UNION ALL SELECT skill_id, 'LICENSE', license_text FROM f WHERE licensed
+  UNION ALL SELECT skill_id, 'extra.txt', 'x' FROM f WHERE extra UNION ALL SELECT skill_id, 'big.bin', repeat('x', 1000001) FROM f WHERE big"""
+LIMIT = 1_000_000
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = spark.sql(FAULTY.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    found = spark.sql(FAULTY_FILES.replace("FROM f", "FROM {f}"), f=made)
+    found = found.select("skill_id", "path", F.encode("text", "UTF-8").alias("content")).unionByName(made.select("skill_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content")))
+    return found.withColumn("dir", F.col("skill_id"))
+
+
+REGISTERED = "VALUES " + ", ".join("('{}', '{}', '{}', {})".format(c, "warning" if c == "name-reserved" else s, m.replace("'", "''"), "NULL" if h is None else "'{}'".format(h.replace("'", "''"))) for c, s, m, h in K.REGISTRY)
+
+
+def _rule(code: str, when: str, field: str = "NULL", message: str = "NULL") -> str:
+    return f"SELECT skill_id, '{code}' AS code, {field} AS field, {message} AS message FROM f WHERE {when}"
+
+
+_READ = "NOT bare AND NOT broken"
+RULES = " UNION ALL ".join((
+    _rule("no-skill-md", "bare"), _rule("name-missing", f"{_READ} AND name IS NULL", "'name'"),
+    _rule("name-too-long", f"{_READ} AND length(name) > 64", "'name'", "concat('name is ', CAST(length(name) AS VARCHAR), ' characters; maximum is 64.')"),
+    _rule("name-invalid", f"{_READ} AND name = 'Bad--Name'", "'name'", "'name must use only lowercase letters, digits, and hyphens; must not start or end with a hyphen or contain consecutive hyphens.'"),
+    _rule("name-reserved", f"{_READ} AND name = 'demo'", "'name'", "'\"demo\" is a reserved skill name.'"),
+    _rule("name-dir-mismatch", f"{_READ} AND name <> skill_id", "'name'", "concat('Frontmatter name \"', name, '\" does not match the skill folder name \"', skill_id, '\".')"),
+    _rule("description-missing", f"{_READ} AND description IS NULL", "'description'"),
+    _rule("description-too-long", f"{_READ} AND length(description) > 1024", "'description'", "concat('description is ', CAST(length(description) AS VARCHAR), ' characters; maximum is 1024.')"),
+    _rule("compatibility-too-long", f"{_READ} AND compatibility IS NOT NULL", "'compatibility'", "'compatibility is 501 characters; maximum is 500.'"),
+    _rule("metadata-non-string", f"{_READ} AND doc_id % 4 = 2", "'metadata.version'", "'metadata.version is not a string (got number); stringified to \"1.1\".'"),
+    _rule("metadata-non-string", f"{_READ} AND doc_id % 4 = 3", "'metadata.n'", "'metadata.n is not a string (got array); stringified to \"[1]\".'"),
+    _rule("version-missing", f"{_READ} AND doc_id % 4 = 0"), _rule("allowed-tools-experimental", f"{_READ} AND doc_id % 6 = 0", "'allowed-tools'"),
+    _rule("body-too-long", "NOT bare AND ceil(length(body) / 4.0) > 4000", "NULL", "concat('SKILL.md body is approximately ', CAST(CAST(ceil(length(body) / 4.0) AS BIGINT) AS VARCHAR), ' tokens; recommended maximum is 4000.')"),
+    _rule("body-too-many-lines", "NOT bare AND len(string_split(body, chr(10))) > 500", "NULL", "concat('SKILL.md body has ', CAST(len(string_split(body, chr(10))) AS VARCHAR), ' lines; recommended maximum is 500.')"),
+    _rule("readme-missing", "NOT readme"), _rule("license-missing", f"NOT licensed AND NOT ({_READ} AND license IS NOT NULL)"), _rule("license-file-missing", f"NOT licensed AND {_READ} AND license IS NOT NULL", "'license'"),
+    _rule("broken-ref", "NOT bare AND doc_id % 12 = 0", "'gone.md'"), _rule("external-ref", "NOT bare AND doc_id % 12 = 1", "'../x.md'"),
+    _rule("orphan-file", "extra AND (bare OR doc_id % 6 <> 1)", "'extra.txt'"), _rule("orphan-file", "big AND bare", "'big.bin'"),
+    _rule("file-too-large", "big", "'big.bin'", f"'big.bin: 1000001 bytes exceeds maxFileBytes ({LIMIT}).'"),
+))
+NOTED = f"""f AS ({FAULTY}), r(code, severity, message, hint) AS ({REGISTERED}),
+noted AS (SELECT n.skill_id, r.code, r.severity, n.field, coalesce(n.message, r.message) AS message, r.hint FROM ({RULES}) n JOIN r USING (code))"""
+FAULTY_OPTIONS = Options(max_file_bytes=LIMIT, rules={"name-reserved": "warning"})
+
+
+@query(f"WITH {NOTED} SELECT *, CAST(row_number() OVER (PARTITION BY skill_id ORDER BY severity, code, coalesce(field, ''), message) - 1 AS INTEGER) AS pos FROM noted UNION ALL SELECT skill_id, 'frontmatter-parse', 'error', NULL, NULL, NULL, -1 FROM f WHERE broken AND NOT bare")
+def diagnostics_all(spark, sf_dir):
+    """Every rule on every document's skill, with order and hints; what a YAML parser says of an error is its own."""
+    found = analyze(faulty(spark, sf_dir), FAULTY_OPTIONS, columns=("diagnostics",))
+    failed = F.col("d.code") == "frontmatter-parse"
+    found = found.select("skill_id", F.expr("exists(diagnostics, d -> d.code = 'frontmatter-parse')").alias("broken"), F.posexplode("diagnostics").alias("pos", "d"))
+    # the parse error stands among the errors by its code; the others move up
+    pos = F.when(failed, F.lit(-1)).otherwise(F.col("pos") - F.when(F.col("broken") & ((F.col("d.severity") != "error") | (F.col("d.code") > "frontmatter-parse")), 1).otherwise(0))
+    own = lambda c: F.when(~failed, F.col(f"d.{c}")).alias(c)
+    return found.select("skill_id", "d.code", "d.severity", own("field"), own("message"), own("hint"), pos.cast("int").alias("pos"))
+
+
+@query(
+    f"""WITH {NOTED}, k AS (SELECT *, {_READ} AS ok_read, CASE lower(license) WHEN 'mit' THEN 'MIT' WHEN 'apache-2.0' THEN 'Apache-2.0' END AS named, CASE license_text WHEN 'Some license' THEN NULL WHEN 'MIT License' THEN 'MIT' ELSE 'Apache-2.0' END AS headed FROM f)
+    SELECT skill_id, skill_id AS dir, NOT EXISTS (SELECT 1 FROM noted WHERE noted.skill_id = k.skill_id AND severity = 'error') AND (bare OR NOT broken) AS ok,
+      CASE WHEN ok_read THEN name END AS name, CASE WHEN ok_read THEN description END AS description, CASE WHEN ok_read THEN CASE doc_id % 4 WHEN 1 THEN '1.0' WHEN 2 THEN '1.1' WHEN 3 THEN '3' END END AS version,
+      CASE WHEN ok_read AND doc_id % 6 = 0 THEN 'Read|Grep' END AS tools, CASE WHEN ok_read THEN CASE doc_id % 4 WHEN 1 THEN 'version=1.0' WHEN 2 THEN 'version=1.1' WHEN 3 THEN 'n=[1]' END END AS metadata,
+      CASE WHEN ok_read THEN '{{"own":true}}' ELSE '{{}}' END AS extra,
+      CASE WHEN ok_read THEN license END AS declared, CASE WHEN ok_read AND named IS NOT NULL THEN named WHEN licensed THEN headed END AS spdx, CASE WHEN licensed THEN 'LICENSE' END AS license_file,
+      CASE WHEN ok_read AND named IS NOT NULL THEN 'frontmatter' WHEN licensed AND headed IS NOT NULL THEN 'file' END AS source, CASE WHEN readme THEN 'README.md' END AS readme,
+      CAST(CASE WHEN ok_read THEN ceil((coalesce(length(name), 0) + coalesce(length(description), 0) + CASE WHEN name IS NOT NULL AND description IS NOT NULL THEN 1 ELSE 0 END) / 4.0) ELSE 0 END AS BIGINT) AS metadata_tokens,
+      CAST(CASE WHEN bare THEN 0 ELSE ceil(length(body) / 4.0) END AS BIGINT) AS body_tokens, CASE WHEN NOT bare THEN CAST(len(string_split(body, chr(10))) AS BIGINT) END AS lines, CASE WHEN NOT bare THEN '1 Title' END AS heading,
+      CAST((NOT bare)::INT + readme::INT + licensed::INT + extra::INT AS BIGINT) AS n_files
+    FROM k"""
+)
+def final_records(spark, sf_dir):
+    """The fields of each skill's record."""
+    found = analyze(faulty(spark, sf_dir), FAULTY_OPTIONS)
+    fm = lambda c: F.col(f"frontmatter.{c}")
+    metadata = F.array_join(F.transform(F.map_entries(fm("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return found.select(
+        "skill_id", "dir", "ok", fm("name"), fm("description"), fm("version"), F.array_join(fm("allowedTools"), "|").alias("tools"), metadata.alias("metadata"), fm("extra"), F.col("license.declared"), F.col("license.spdx"),
+        F.col("license.file").alias("license_file"), F.col("license.source"), F.col("readme.path").alias("readme"), F.col("tokens.metadata").alias("metadata_tokens"), F.col("tokens.body").alias("body_tokens"), F.col("body.lines"),
+        F.expr("concat(body.headings[0].depth, ' ', body.headings[0].text)").alias("heading"), F.size("files").cast("long").alias("n_files"),
+    )
+
+
+#: Paths in the order of their UTF-16 code units, the last of which are ignored by default.
+ORDERED = ("A.md", "SKILL.md", "a/b.md", "a0.md", "é.md", "日.md", "\U0001f600.md", "Ａ.md")
+IGNORED = (".git/config", "a/node_modules/x.js", "b/.DS_Store", "yarn.lock")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(ORDERED)) + ") AS v(pos, path)")
+def path_order(spark, sf_dir):
+    """Default ignore list, and files and orphans in path order."""
+    found = spark.createDataFrame([("s", p, bytearray(b"x")) for p in ORDERED[::-1] + IGNORED], "skill_id string, path string, content binary").withColumn("dir", F.lit(None).cast("string"))
+    found = analyze(found, columns=("files", "references"))
+    same = F.expr("filter(transform(files, f -> f.path), p -> p <> 'SKILL.md') = references.orphans")
+    return found.where(same).select(F.posexplode(F.transform("files", lambda f: f["path"])).alias("pos", "path"))
+
+
 CODES = ("name-reserved", "license-missing", "broken-ref", "name-missing", "orphan-file")
 RAW = "SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " END AS code, source AS skill_id FROM documents"
 
@@ -406,8 +520,8 @@ def ok_flag(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n < 1024 THEN concat(CAST(n AS VARCHAR), ' B') ELSE concat(CAST(t // 10 AS VARCHAR), CASE WHEN t % 10 = 0 THEN '' ELSE concat('.', CAST(t % 10 AS VARCHAR)) END, ' KB') END AS size
-    FROM (SELECT doc_id, n_chars AS n, CAST(floor(n_chars / 1024.0 * 10 + 0.5) AS BIGINT) AS t FROM documents WHERE n_chars < 1048576)"""
+    """SELECT doc_id, CASE WHEN n < 1024 THEN concat(CAST(n AS VARCHAR), ' B') ELSE concat(CAST(t // 10 AS VARCHAR), CASE WHEN t % 10 = 0 THEN '' ELSE concat('.', CAST(t % 10 AS VARCHAR)) END, CASE WHEN n < 1048576 THEN ' KB' ELSE ' MB' END) END AS size
+    FROM (SELECT doc_id, n_chars AS n, CAST(floor(n_chars / CASE WHEN n_chars < 1048576 THEN 1024.0 ELSE 1048576.0 END * 10 + 0.5) AS BIGINT) AS t FROM documents)"""
 )
 def format_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.format_bytes(F.col("n_chars")).alias("size"))

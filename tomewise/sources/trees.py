@@ -48,22 +48,31 @@ def inside(root: str, path: str) -> str:
     return full
 
 
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for skill_id, folder, root in zip(pdf["skill_id"], pdf["dir"], pdf["root"]):
+            paths = [p for p, _ in list_tree(root)] or [None]
+            yield pd.DataFrame({"skill_id": skill_id, "dir": folder, "path": pd.Series(paths, dtype=object), "root": root})
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         content = []
         for root, path in zip(pdf["root"], pdf["path"]):
+            if path is None:  # a folder without files
+                content.append(None)
+                continue
             with open(inside(root, path), "rb") as f:
                 content.append(f.read())
-        yield pd.DataFrame({"skill_id": pdf["skill_id"], "dir": pdf["dir"], "path": pdf["path"], "content": content})
+        yield pd.DataFrame({"skill_id": pdf["skill_id"], "dir": pdf["dir"], "path": pdf["path"], "content": pd.Series(content, dtype=object)})
 
 
 def from_dirs(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
-    """Folders by skill_id, on storage that all workers see; files are listed here and read on the executors."""
-    rows = [(k, os.path.basename(os.path.realpath(r)) or None, p, os.path.abspath(r)) for k, r in roots.items() for p, _ in list_tree(r)]
-    if not rows:
-        return spark.createDataFrame([(k, os.path.basename(os.path.realpath(r)) or None, None, None) for k, r in roots.items()], FILES)
-    listed = spark.createDataFrame(rows, "skill_id string, dir string, path string, root string")
-    return listed.repartition(max(1, min(len(rows) // 64, 4096)), "skill_id", "path").mapInPandas(_read, FILES)
+    """Folders by skill_id, on storage that all workers see; they are listed and their files read on the executors."""
+    rows = [(k, os.path.basename(os.path.realpath(r)) or None, os.path.abspath(r)) for k, r in roots.items()]
+    n = max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    listed = spark.createDataFrame(rows, "skill_id string, dir string, root string").repartition(n, "skill_id").mapInPandas(_list, "skill_id string, dir string, path string, root string")
+    return listed.repartition("skill_id", "path").mapInPandas(_read, FILES)
 
 
 def from_dir(spark: SparkSession, root: str) -> DataFrame:
