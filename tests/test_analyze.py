@@ -5,12 +5,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tomewise import Options, analyze, from_dir, from_files, from_table, python_tokenizer
+from tomewise import Options, analyze, from_dir, from_files, from_table, json_schema, options_schema, python_tokenizer
 from tomewise.__main__ import run
 from tomewise.functions import yaml12
 from tomewise.functions.markdown import scan
 from tomewise.operators import frontmatter, manifest, references
 from tomewise.plans import render
+from tomewise.plans.analyze import OUTPUT
+from tomewise.plans.schema import faults
 from tomewise.sources.trees import inside
 from tomewise.streaming.ingest import ingest
 
@@ -137,7 +139,7 @@ def test_one_bad_file_ends_nothing(spark):
     assert got["tab"].frontmatter.name == "a\tb" and got["null-key"].frontmatter.extra == '{"":"v"}' and got["clash"].frontmatter.extra == '{"1":"b"}'
     assert got["set"].frontmatter.extra == '{"a":{}}' and got["binary"].frontmatter.extra == '{"a":{"0":104,"1":105}}' and got["cycle"].frontmatter.extra == '{"a":{"b":null}}'
     for r in found:
-        assert json.loads(render.to_json(r)) and render.to_text(r)
+        assert not faults(json.loads(render.to_json(r)), json_schema()) and render.to_text(r)
 
 
 def test_sinks():
@@ -147,6 +149,11 @@ def test_sinks():
     assert yaml12.json_pretty({"b": [1e-7, 1e21, {}], "10": [], "2": {"x": None}}) == '{\n  "2": {\n    "x": null\n  },\n  "10": [],\n  "b": [\n    1e-7,\n    1e+21,\n    {}\n  ]\n}'
 
 
+def test_schemas():
+    assert not faults({"ignore": ["a"], "max_file_bytes": 1, "rules": {"a": "off"}}, options_schema()) and faults({"rules": {"a": "loud"}}, options_schema()) and faults({"x": 1}, options_schema())
+    assert set(json_schema()["required"]) == set(OUTPUT) and faults({}, json_schema())
+
+
 def test_tables_streams_and_python_tokenizers(spark, tmp_path):
     table = spark.createDataFrame([("s", "SKILL.md", MINIMAL), ("s", "a.md", "x")], "skill_id string, path string, content string")
     row = analyze(from_table(table), Options(tokenizer=python_tokenizer("words", lambda t: len(t.split())))).first()
