@@ -29,7 +29,7 @@ from .shared import chunks, column, rows
 
 WINDOW = 16  # bytes that the rolling hash sees
 EVERY = 96  # a word start in so many is a cut
-CACHE_BYTES = 96 << 20  # of chunks and their ids that a worker keeps, in two generations
+CACHE_BYTES = 48 << 20  # of chunks and their ids that a worker keeps, in two generations
 OVERHEAD = 700  # bytes of an entry besides its text and ids
 
 SPECIAL = b"<|endoftext|>"
@@ -147,14 +147,12 @@ def cuts(texts: list[bytes]) -> list[list[int]]:
     return [(at[a:b] - s).tolist() for a, b, s in zip(edge[:-1].tolist(), edge[1:].tolist(), begin.tolist())]
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def codec(*paths: str) -> Codec:
     """One codec a worker, whose chunks serve all of its tasks."""
-    if paths not in _CODECS:
-        _CODECS[paths] = Codec(*paths)
-    return _CODECS[paths]
+    held = shared.enter("bpe_codec")
+    if paths not in held:
+        held[paths] = Codec(*paths)
+    return held[paths]
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -94,6 +94,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("decontaminate")
         counts, total = np.zeros(len(told.value), np.int64), 0
         for batch in batches:
             for _, texts in chunks(batch):
@@ -343,6 +344,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         told = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            shared.enter("decontaminate")
             for batch in batches:
                 ids = column(batch, "doc_id").to_pylist()
                 for piece, texts in chunks(batch):
@@ -364,6 +366,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         told = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            shared.enter("decontaminate")
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for piece, texts in chunks(batch):

@@ -120,6 +120,7 @@ def _first_pass(bits: int):
         return rows(schema, kind=[1] * len(bucket), bucket=bucket, blob=blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("jaccard_join")
         held, size, seen = [], 0, set()
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
@@ -173,6 +174,7 @@ def _second_pass(heavy, bits: int):
         return rows(schema, kind=[1] * len(bucket), bucket=bucket, tokens=a, nodes=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("jaccard_join")
         keys, counts = heavy.value
         held, size, seen = [], 0, set()
         for batch in batches:
@@ -372,6 +374,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("jaccard_join")
         for batch in batches:
             fps = [fingerprint(s) for _, texts in chunks(batch) for s in shingle_sets(Words(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], schema=schema)
@@ -383,6 +386,7 @@ def _sets_of(marks, bits: int):
     schema = pa.schema([("fp", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("jaccard_join")
         asked = np.unpackbits(np.frombuffer(marks.value, np.uint8)).view(bool)
         for batch in batches:
             ids = column(batch, "doc_id")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .shared import column, crc_of_id, rows
 
 PER_LANGUAGE = 400  # labelled rows of a language that the classifier is fitted on, at most
@@ -136,6 +137,7 @@ def _predict(model):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("language_id")
         ridge: KernelRidge | None = model.value
         flags = np.zeros(TOTAL, bool)
         present = np.zeros((BATCH, len(ridge.vocabulary)), np.float32) if ridge else None
@@ -171,6 +173,7 @@ def keep_known(docs: DataFrame, model: KernelRidge | None, least: float = 0.0) -
     schema, score = to_arrow_schema(docs.schema), _predict(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("language_id")
         for batch in batches:
             asked = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), column(batch, "text")], names=["doc_id", "text"])
             keep = np.concatenate([np.array([x != UNKNOWN for x in column(b, "lang_pred").to_pylist()]) & (column(b, "score").to_numpy() >= least) for b in score(iter([asked]))] or [np.empty(0, bool)])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import BoostedTrees, threshold
+from . import shared
 from .shared import column, rows
 
 FIT_DOCS = 20_000  # documents, in expectation, whose candidates the trees are fitted on
@@ -216,6 +217,7 @@ def find(docs: DataFrame, selector: Selector | None) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(selector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("pii")
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
@@ -251,6 +253,7 @@ def redact(docs: DataFrame, selector: Selector | None) -> DataFrame:
         return "".join([*parts, text[done:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.enter("pii")
         for batch in batches:
             texts = [clean(t) for t in column(batch, "text").to_pylist()]
             arrays = dict(zip(batch.schema.names, batch.columns)) | {"text": pa.array(texts, schema.field("text").type)}

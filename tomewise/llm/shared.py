@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +65,27 @@ class Scratch:
         self.drop(*sorted(self.names.difference(names)))
 
 
+_HELD: dict = {}
+_OWNER = [""]
+
+
+def enter(owner: str) -> dict:
+    """What a Python worker keeps from task to task of one operator.
+
+    Workers serve task after task: where another operator's task was before, what that one kept goes, and memory that is
+    free goes back to the system.
+    """
+    if _OWNER[0] != owner:
+        _HELD.clear()
+        _POWERS.clear()
+        _OWNER[0] = owner
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+    return _HELD
+
+
 def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 

@@ -85,13 +85,11 @@ class WordEncoder:
         return np.array(self.slow.encode(text.decode(), add_special_tokens=False).ids, dtype=np.int64)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(vocabulary: str) -> WordEncoder:
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    held = shared.enter("token_files")
+    if vocabulary not in held:
+        held[vocabulary] = WordEncoder(vocabulary)
+    return held[vocabulary]
 
 
 class TokenWriter:
