@@ -170,6 +170,24 @@ def headings(spark, sf_dir):
     return skills(spark, sf_dir).select("skill_id", F.explode("headings").alias("h")).select("skill_id", "h.depth", F.col("h.text").alias("title"))
 
 
+MARKED = """concat('```py', chr(10), '# no heading', chr(10), '[no](no.md)', chr(10), '```', chr(9), chr(10), '## Part ', CAST(doc_id AS STRING), ' ##', chr(10), 'See [a](a', CAST(doc_id AS STRING), '.md "T"), [b](<b c.md>), ``x`y``, [d]( d.md ) and `[e](e.md)`',
+  chr(10), '~~~', chr(10), '`no`', chr(10), '   ~~~~ ', chr(10), '#', chr(9), 'none', chr(10), text)"""
+
+
+@query(
+    """SELECT doc_id, 'heading' AS kind, concat('2 Part ', CAST(doc_id AS VARCHAR)) AS value FROM documents
+    UNION ALL SELECT doc_id, 'heading', concat(CAST(length(regexp_extract(line, '^(#{1,6}) (.+)', 1)) AS VARCHAR), ' ', trim(regexp_extract(line, '^(#{1,6}) (.+)', 2))) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^#{1,6} .')
+    UNION ALL SELECT doc_id, 'link', concat('a', CAST(doc_id AS VARCHAR), '.md') FROM documents UNION ALL SELECT doc_id, 'link', unnest(['b c.md', 'd.md']) FROM documents UNION ALL SELECT doc_id, 'code', unnest(['x`y', '[e](e.md)']) FROM documents"""
+)
+def markdown_scan(spark, sf_dir):
+    """Fences, headings, links and code spans of every document, behind a part that has all kinds of them."""
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) as skill_id", f"{MARKED} as text").withColumn("dir", F.lit(None).cast("string"))
+    found = frontmatter.parsed(docs).select(F.col("skill_id").cast("long").alias("doc_id"), "headings", "link_targets", "inline_code")
+    titles = F.transform("headings", lambda h: F.concat(h["depth"].cast("string"), F.lit(" "), h["text"]))
+    parts = [found.select("doc_id", F.lit(kind).alias("kind"), F.explode(c).alias("value")) for kind, c in (("heading", titles), ("link", F.col("link_targets")), ("code", F.col("inline_code")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT skill_id, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM c WHERE path = 'SKILL.md'")
 def link_targets(spark, sf_dir):
     return skills(spark, sf_dir).select("skill_id", F.explode("link_targets").alias("target"))
@@ -536,7 +554,8 @@ def allowed_tools(spark, sf_dir):
     return frontmatter.parsed(found).select(F.col("skill_id").alias("tools"), F.coalesce(F.array_join("allowedTools", "|"), F.lit("")).alias("parts"))
 
 
-YAML = (("a: 014", '{"a":14}'), ("a: yes", '{"a":"yes"}'), ("a: 1.10", '{"a":1.1}'), ("b: [1e21, 1e-7, -0]\na: ~", '{"a":null,"b":[1e+21,1e-7,0]}'), ("a: 0o14", '{"a":12}'), ("d: 2024-01-02", '{"d":"2024-01-02"}'))
+YAML = (("a: 014", '{"a":14}'), ("a: yes", '{"a":"yes"}'), ("a: 1.10", '{"a":1.1}'), ("b: [1e21, 1e-7, -0]\na: ~", '{"a":null,"b":[1e+21,1e-7,0]}'), ("a: 0o14", '{"a":12}'), ("d: 2024-01-02", '{"d":"2024-01-02"}'), ("a: 0x1F", '{"a":31}'), ("~: v", '{"":"v"}'),
+    ("a:\tb\tc", '{"a":"b\\tc"}'), ("a: [.inf, -.inf, .nan]", '{"a":[null,null,null]}'), ("a: " + "1" * 310, '{"a":null}'), ("a: !!set {x}", '{"a":{}}'), ("10: x\n9: y", '{"10":"x","9":"y"}'), ("a: &x\n  b: *x", '{"a":{"b":null}}'), ("? [a, 1]\n: v", '{"[ a, 1 ]":"v"}'), ("<<: x", '{"<<":"x"}'))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a.replace("\n", "|"), b) for a, b in YAML) + ") AS v(yaml, json)")
