@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked documents, that of the least doc_id."""
-    found = Scratch(spark, "near").table(jaccard_join.join(docs).select("doc_id", "component_id", F.col("fp").alias("_set")), "found")
+    found = Scratch(spark, "near").table(jaccard_join.join(docs, with_sets=True).select("doc_id", "component_id", F.col("fp").alias("_set")), "found")
     copies = found.where("component_id <> doc_id")
     # where a doc_id has several rows, the set tells which of them is meant, and of equal ones the first stays
     many = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")

@@ -7,9 +7,11 @@ sets have more groups; points of unlike numbers of groups meet after the greater
 1. `_first_pass`: set sizes and set fingerprints; token frequencies for the global token order.
 2. `_second_pass`: equal sets become one node (its fingerprint). In a global order (light tokens by hash, then
    heavy ones by frequency) two sets with Jaccard similarity t share a token among the first n - ceil(t n) + 1, so
-   nodes meet in the blocks of these tokens. Any global order is exact; this one keeps common passages out.
-3. Blocks: each node is compared with the least and the greatest node of its blocks. What remains open, nodes of one
-   block in different components, is searched in rounds: first the nodes outside their block's largest component ask an
+   nodes meet in the blocks of these tokens. Any global order is exact; this one keeps common passages out. Where the
+   first token that two sets share stands tells how many they can share at most: a node's reach in a block is the
+   greatest size of a set that it can link with there, and nodes out of reach of each other do not meet.
+3. Blocks: each node is compared with the node of its block that reaches farthest for its size, which is the least
+   changed of a group of copies, and with the greatest. What remains open, nodes of one block in different components, is searched in rounds: first the nodes outside their block's largest component ask an
    R-tree over the points of the block for the few best targets in other components that the bound allows; they are
    verified exactly, and links join components before the next round. In each further round the nodes that had more
    such targets ask for more, until none has, so every pair that could link is settled, but a group of copies never
@@ -47,7 +49,7 @@ LEAF = 16  # points in a leaf of the R-tree
 FLAT = 64  # points that are compared without a tree
 
 FIRST = "kind int, doc_id long, n int, fp long, point binary, bucket int, blob binary"
-SECOND = "kind int, fp long, hot array<long>, bucket int, tokens binary, nodes binary"
+SECOND = "kind int, fp long, hot array<long>, reach array<long>, bucket int, tokens binary, nodes binary, reaches binary"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -107,6 +109,11 @@ def needed(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def reaches(n: int) -> np.ndarray:
+    """For each place in the prefix of a set of n tokens the greatest size of a set that it can link with, if they share no token before it."""
+    return (n - np.arange(prefix_length(n))) * (NUM + DEN) // NUM - n
+
+
 def _first_pass(bits: int):
     schema = _arrow(FIRST)
 
@@ -161,17 +168,19 @@ def _heavy(least: int, bits: int):
 def _second_pass(heavy, bits: int):
     schema = _arrow(SECOND)
 
-    def flush(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        tokens = np.concatenate([t for t, _ in held]) >> np.uint64(16)
-        nodes = np.repeat(np.array([f for _, f in held], dtype="<i8"), [len(t) for t, _ in held])
+    def flush(held: list[tuple[np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
+        tokens = np.concatenate([t for t, _, _ in held]) >> np.uint64(16)
+        nodes = np.repeat(np.array([f for _, f, _ in held], dtype="<i8"), [len(t) for t, _, _ in held])
+        reach = np.concatenate([r for _, _, r in held]).astype("<u4")
         order = np.argsort(tokens)
-        tokens, nodes = tokens[order], nodes[order]
-        bucket, a, b = [], [], []
-        for k, t, f in split_by_bucket((tokens >> np.uint64(48 - bits)).astype(np.int64), tokens, nodes):
+        tokens, nodes, reach = tokens[order], nodes[order], reach[order]
+        bucket, a, b, c = [], [], [], []
+        for k, t, f, r in split_by_bucket((tokens >> np.uint64(48 - bits)).astype(np.int64), tokens, nodes, reach):
             bucket.append(k)
             a.append(packed(t & np.uint64((1 << 48 - bits) - 1), 5))
             b.append(f.tobytes())
-        return rows(schema, kind=[1] * len(bucket), bucket=bucket, tokens=a, nodes=b)
+            c.append(r.tobytes())
+        return rows(schema, kind=[1] * len(bucket), bucket=bucket, tokens=a, nodes=b, reaches=c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.enter("jaccard_join")
@@ -180,7 +189,7 @@ def _second_pass(heavy, bits: int):
         for batch in batches:
             known = column(batch, "doc_id").is_valid().to_pylist()
             for piece, texts in chunks(batch):
-                fps, hot = [], []
+                fps, hot, far = [], [], []
                 for i, s in enumerate(shingle_sets(Words(texts)), piece.start):
                     fp = fingerprint(s)
                     if not len(s) or fp in seen or not known[i]:
@@ -190,17 +199,18 @@ def _second_pass(heavy, bits: int):
                     at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
                     weight = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(len(s), np.int64)
                     order = np.argsort(weight, kind="stable")[: prefix_length(len(s))]
-                    first, weight = s[order], weight[order]
-                    held.append((first[weight <= HOT], fp))
+                    first, weight, reach = s[order], weight[order], reaches(len(s))
+                    held.append((first[weight <= HOT], fp, reach[weight <= HOT]))
                     size += len(held[-1][0])
                     if weight[-1] > HOT:
                         fps.append(fp)
                         hot.append(first[weight > HOT].view(np.int64).tolist())
+                        far.append(reach[weight > HOT].tolist())
                     if size >= FLUSH:
                         yield flush(held)
                         held, size = [], 0
                 if fps:
-                    yield rows(schema, kind=[0] * len(fps), fp=fps, hot=hot)
+                    yield rows(schema, kind=[0] * len(fps), fp=fps, hot=hot, reach=far)
         if size:
             yield flush(held)
 
@@ -208,22 +218,29 @@ def _second_pass(heavy, bits: int):
 
 
 def _blocks(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket the tokens that two or more nodes have; equal member lists come once. Hot tokens pass through."""
+    """Of one bucket the tokens that two or more nodes have; equal member lists come once, with the farthest reach of each member. Hot tokens pass through."""
     pdf = pdf[pdf["kind"] == 1]
     tokens = np.concatenate([np.empty(0, np.uint64), *(unpacked(b, 5) for b in pdf["tokens"])])
     nodes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(b, "<i8") for b in pdf["nodes"])])
-    order = np.argsort(tokens, kind="stable")
-    tokens, nodes = tokens[order], nodes[order]
+    reach = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(b, "<u4") for b in pdf["reaches"])]).astype(np.int64)
+    order = np.lexsort((nodes, tokens))
+    tokens, nodes, reach = tokens[order], nodes[order], reach[order]
+    once = (np.diff(tokens, prepend=~tokens[:1]) != 0) | (np.diff(nodes, prepend=0) != 0)  # a set that several tasks met
+    tokens, nodes, reach = tokens[once], nodes[once], reach[once]
     cut = np.flatnonzero(np.diff(tokens)) + 1
     begin, end = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(tokens)]]).astype(np.int64)
-    found: dict[int, list[int]] = {}
     two = begin[end - begin == 2]
-    pairs = np.unique(np.sort(np.stack([nodes[two], nodes[two + 1]], axis=1), axis=1), axis=0) if len(two) else np.empty((0, 2), np.int64)
-    many = [np.unique(nodes[begin[i] : end[i]]) for i in np.flatnonzero(end - begin > 2).tolist()]
-    for members in [*pairs[pairs[:, 0] != pairs[:, 1]], *many]:
-        if len(members) > 1:
-            found.setdefault(fingerprint(members.view(np.uint64)), members.tolist())
-    return pd.DataFrame({"block": pd.Series(list(found), dtype=np.int64), "members": pd.Series(list(found.values()), dtype=object)})
+    two = two[np.lexsort((nodes[two + 1], nodes[two]))]
+    new = np.flatnonzero((np.diff(nodes[two], prepend=0) != 0) | (np.diff(nodes[two + 1], prepend=0) != 0) | (np.arange(len(two)) == 0))
+    pairs = np.stack([nodes[two[new]], nodes[two[new] + 1]], axis=1)
+    far = np.stack([np.maximum.reduceat(reach[two + k], new) for k in (0, 1)], axis=1) if len(two) else pairs
+    many = np.flatnonzero(end - begin > 2).tolist()
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for members, r in [*zip(pairs, far), *((nodes[begin[i] : end[i]], reach[begin[i] : end[i]]) for i in many)]:
+        block = fingerprint(members.view(np.uint64))
+        found[block] = (members, np.maximum(r, found[block][1]) if block in found else r)
+    lists = [pd.Series([v[k].tolist() for v in found.values()], dtype=object) for k in (0, 1)]
+    return pd.DataFrame({"block": pd.Series(list(found), dtype=np.int64), "members": lists[0], "reach": lists[1]})
 
 
 class RTree:
@@ -258,7 +275,7 @@ def _search(ask_for: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each asking node the ask_for best targets in other components that it has not met yet; pdf holds several blocks."""
         pdf = pdf.sort_values(["block", "part"])
-        fp, root, n, home, asks, block, part, met = (pdf[k].to_numpy() for k in ("fp", "root", "n", "home", "asks", "block", "part", "met"))
+        fp, root, n, reach, home, asks, block, part, met = (pdf[k].to_numpy() for k in ("fp", "root", "n", "reach", "home", "asks", "block", "part", "met"))
         blobs = pdf["point"].to_numpy()
         edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
         found: list[tuple] = []
@@ -266,6 +283,10 @@ def _search(ask_for: int):
         for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)]):
             here = lo + np.flatnonzero(home[lo:hi])
             ask = lo + np.flatnonzero(asks[lo:hi])
+            if len(here) and len(ask):
+                ask = ask[reach[ask] >= n[here].min()]
+            if len(here) and len(ask):
+                here = here[(reach[here] >= n[ask].min()) & (n[here] <= reach[ask].max())]
             if not len(here) or not len(ask):
                 continue
             points = points_of(blobs[lo:hi])
@@ -280,6 +301,8 @@ def _search(ask_for: int):
                 x, y, over = np.repeat(ask, [len(k) for k, _ in hits]), here[np.concatenate([k for k, _ in hits])], np.concatenate([k for _, k in hits])
                 other = root[x] != root[y]
                 x, y, over = x[other], y[other], over[other]
+            near = (n[x] <= reach[y]) & (n[y] <= reach[x])
+            x, y, over = x[near], y[near], over[near]
             if len(x):
                 new = np.ones(len(x), bool)
                 for i in np.unique(x[np.array([m is not None for m in met[x]])]).tolist():
@@ -483,7 +506,7 @@ def _round(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame, r
     """
     name, ask_for = f"round{step}", FIRST_ASK * MORE**step
     sizes = roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root")
-    placed = members.join(sizes, "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = members.join(sizes, "fp", "left").select("block", "fp", "reach", F.coalesce("root", "fp").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
     if met is not None:
         placed = placed.join(met.where("more").select("fp", F.col("targets").alias("met")), "fp", "left")
     else:
@@ -492,10 +515,10 @@ def _round(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame, r
     open_ = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("of"), F.max(F.struct("size", "root")).alias("m"), F.count("met").alias("asking"))
     open_ = open_.where("lo <> hi" if met is None else "lo <> hi and asking > 0").select("block", "of", F.col("m.root").alias("main"))
     inside = placed.join(open_, "block").withColumn("asks", F.expr("root <> main" if met is None else "met is not null"))
-    inside = inside.select("block", "fp", "root", "of", "asks", "met").join(nodes.select("fp", "n", "point"), "fp")
+    inside = inside.select("block", "fp", "reach", "root", "of", "asks", "met").join(nodes.select("fp", "n", "point"), "fp")
     inside = inside.withColumn("parts", F.expr(f"cast(ceil(of / {SPLIT}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
     inside = inside.withColumn("part", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(own))"))).withColumn("home", F.expr("part = own"))
-    inside = inside.select("block", "part", "fp", "root", "home", "asks", "n", "point", "met")
+    inside = inside.select("block", "part", "fp", "root", "home", "asks", "n", "reach", "point", "met")
     found = inside.groupBy(F.expr(f"cast(pmod(xxhash64(block, part), {buckets}) as int)").alias("bucket")).applyInPandas(_search(ask_for), "a long, targets binary, scores binary, more boolean")
     found = found.groupBy(F.expr(f"cast(pmod(xxhash64(a), {buckets}) as int)").alias("bucket")).applyInPandas(_choose(ask_for), "fp long, targets binary, more boolean")
     found = scratch.table(found, f"{name}-asked-for")
@@ -523,32 +546,39 @@ def _settle(scratch: Scratch, sets: Sets, nodes: DataFrame, members: DataFrame,
 
 
 def _members(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heavy, bits: int) -> DataFrame:
-    """(block, fp): the nodes of each block, split into size bands so that only nodes of like size meet.
+    """(block, fp, n, reach): the nodes of each block, split into size bands so that only nodes of like size meet.
 
     Linked sets differ in size by 4/3 at most, so their size classes to the base 4/3 are equal or neighbours: a node
-    of class c stands in the bands c and c + 1. Bands with the same members as another are left out.
+    of class c stands in the bands c and c + 1. A node that reaches no other of its band is left out, and bands with the
+    same members as another are one, with the farthest reach of each member.
     """
     second = docs.mapInArrow(_second_pass(heavy, bits), SECOND)
     # hot tokens come as rows of their own, the others by bucket
     second = second.groupBy(F.coalesce("bucket", F.expr(f"cast(-1 - pmod(fp, {1 << bits}) as int)")).alias("b"))
-    blocks = scratch.table(second.applyInPandas(lambda key, pdf: _tell_hot(pdf) if key[0] < 0 else _blocks(key, pdf), "block long, members array<long>"), "blocks")
-    rows_ = blocks.groupBy("block", "members").agg(F.lit(1)).select("block", F.explode("members").alias("fp"))
+    blocks = second.applyInPandas(lambda key, pdf: _tell_hot(pdf) if key[0] < 0 else _blocks(key, pdf), "block long, members array<long>, reach array<long>")
+    blocks = scratch.table(blocks, "blocks").select("block", F.explode(F.arrays_zip("members", "reach")).alias("m"))
+    rows_ = blocks.groupBy("block", F.col("m.members").alias("fp")).agg(F.max("m.reach").alias("reach"))
     rows_ = rows_.join(nodes.select("fp", "n"), "fp").withColumn("c", F.expr(f"cast(floor(ln(n) / ln({DEN} / {NUM}) + 1e-9) as int)"))
-    rows_ = rows_.select(F.explode(F.expr("array(c, c + 1)")).alias("band"), "block", "fp").select(F.xxhash64("block", "band").alias("block"), "fp")
+    rows_ = rows_.select(F.explode(F.expr("array(c, c + 1)")).alias("band"), "block", "fp", "n", "reach").select(F.xxhash64("block", "band").alias("block"), "fp", "n", "reach")
     rows_ = scratch.table(rows_, "bands")
+    ends = rows_.groupBy("block").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.count("*").alias("of")).where("of > 1").drop("of")
+    rows_ = scratch.table(rows_.join(ends, "block").where("reach >= least and n <= most").drop("least", "most"), "within")
+    scratch.drop("blocks", "bands")
     one = rows_.groupBy("block").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.expr("pmod(xxhash64(fp, 1), 1000000007)")).alias("y")).where("size > 1")
-    one = one.groupBy("size", "x", "y").agg(F.min("block").alias("block")).select("block")
-    return scratch.table(rows_.join(one, "block", "left_semi"), "members")
+    same = one.groupBy("size", "x", "y").agg(F.min("block").alias("first"), F.collect_list("block").alias("blocks")).select("first", F.explode("blocks").alias("block"))
+    found = rows_.join(same, "block").groupBy(F.col("first").alias("block"), "fp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    return scratch.table(found, "members")
 
 
 def _tell_hot(pdf: pd.DataFrame) -> pd.DataFrame:
     """A member list of one for each hot token of a node; SQL brings the nodes of a token together."""
     block = [t for tokens in pdf["hot"] for t in tokens]
-    return pd.DataFrame({"block": pd.Series(block, dtype=np.int64), "members": pd.Series([[f] for f, tokens in zip(pdf["fp"], pdf["hot"]) for _ in tokens], dtype=object)})
+    members, reach = [[f] for f, tokens in zip(pdf["fp"], pdf["hot"]) for _ in tokens], [[r] for far in pdf["reach"] for r in far]
+    return pd.DataFrame({"block": pd.Series(block, dtype=np.int64), "members": pd.Series(members, dtype=object), "reach": pd.Series(reach, dtype=object)})
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and fp (the fingerprint of its set) of each row."""
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_sets: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with_sets, fp (the fingerprint of its set) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     buckets = shared.shuffle_buckets(spark)
@@ -567,7 +597,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     scratch.drop("first")
 
     members = _members(scratch, docs, nodes, told, bits)
-    ends = members.groupBy("block").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    ends = members.groupBy("block").agg(F.max(F.struct(F.expr("reach / n"), "fp"))["fp"].alias("lo"), F.max("fp").alias("hi"))
     stars = members.join(ends, "block").select("fp", F.explode(F.array("lo", "hi")).alias("p")).where("p <> fp").select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"))
     sets = Sets(scratch, docs, nodes)
     links = _links(scratch, sets, _near(scratch, nodes, stars, "stars"), "stars")
@@ -577,5 +607,5 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     named = scratch.table(named.join(smallest, "root").select("fp", "component_id"), "named")
     scratch.drop_but("known", "named")
     return known.join(named, "fp", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "fp"
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *["fp"] * with_sets
     )
