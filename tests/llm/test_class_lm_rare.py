@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tomewise.llm import class_lm
@@ -26,3 +27,18 @@ def test_words_that_are_not_known_everywhere_have_the_same_classes(spark, monkey
     assert len(got) == len(want) == len(rows)
     for g, w in zip(got, want):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_counts_of_neighbours_beyond_a_byte(spark, monkeypatch):
+    """One task's counts of a word and a class travel in a byte where they fit; cut over many tasks they all do."""
+    monkeypatch.setattr(class_lm, "CLUSTERED", 3)
+    monkeypatch.setattr(class_lm, "CLASSES", 3)
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choices("nva"[k % 3] + "012", [9, 3, 3, 3])[0] + "x" for k in range(60))) for i in range(200)], "doc_id long, text string")
+    frequent = class_lm.Frequent(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    told = spark.sparkContext.broadcast((frequent, np.arange(frequent.end + 1), np.zeros((frequent.end + 1,) * 2)))
+    wide = [sum(len(x.many) for x in docs.repartition(k, "doc_id").select("text").mapInArrow(class_lm._neighbours(told, 8), class_lm.NEAR).collect()) for k in (1, 60)]
+    assert wide[0] > 0 == wide[1]
+    one, many = (sorted(class_lm.query(docs.repartition(k, "doc_id")).collect(), key=str) for k in (1, 60))
+    for g, w in zip(one, many):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)

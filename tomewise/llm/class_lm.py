@@ -36,7 +36,7 @@ from .shared import Scratch, Words, chunks, column, crc_of_id, rows, split_by_bu
 MAX_FREQUENT = 1 << 20  # bound of the words that are known everywhere; the others meet their classes in a shuffle
 CLUSTERED = 1000  # words that are exchanged between classes; the others are placed once
 LEAST = 2  # occurrences of a word that has a class of its neighbours; a word that occurs once stands for those that never did
-CLASSES = 64  # with those of shapes and of the end less than NONE
+CLASSES = 64  # with those of shapes and of the end at most 128, as sides and classes travel as bytes
 SHAPES = 6
 PASSES = 3  # of exchange clustering over all its words
 FLUSH = 1 << 21  # tokens that a task holds before it writes them to its buckets
@@ -185,12 +185,13 @@ def gather_pairs(counted: DataFrame, size: int) -> np.ndarray:
     return pairs
 
 
-NEAR = "bucket int, words binary, sizes binary, sides binary, n binary"
+NEAR = "bucket int, words binary, sizes binary, sides binary, n binary, many binary"  # n: a byte, MANY where many has the number
+MANY = 255
 
 
 def _neighbours(told, bits: int):
     """Per bucket of words that aren't clustered: how often each has each class after it and before it."""
-    schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in ("words", "sizes", "sides", "n"))])
+    schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in ("words", "sizes", "sides", "n", "many"))])
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> pa.RecordBatch:
         after, before = (np.concatenate([x[k] for x in held]) for k in (1, 2))
@@ -198,10 +199,10 @@ def _neighbours(told, bits: int):
         key, n = np.unique(np.concatenate([row * width + after, row * width + before]), return_counts=True)
         row, side = np.divmod(key, width)
         out: dict[str, list] = {f.name: [] for f in schema}
-        for b, r, *parts in split_by_bucket((word >> np.uint64(64 - bits)).astype(np.int64)[row], row, side.astype("<u2"), n.astype("<u4")):
+        for b, r, sides, k in split_by_bucket((word >> np.uint64(64 - bits)).astype(np.int64)[row], row, side.astype(np.uint8), n.astype("<u4")):
             first = np.flatnonzero(np.diff(r, prepend=-1))
             sizes = np.diff(first, append=len(r)).astype("<u2")
-            for name, value in zip(out, (b, *(p.tobytes() for p in (word[r[first]], sizes, *parts)))):
+            for name, value in zip(out, (b, *(p.tobytes() for p in (word[r[first]], sizes, sides, np.minimum(k, MANY).astype(np.uint8), k[k >= MANY])))):
                 out[name].append(value)
         return rows(schema, **out)
 
@@ -240,7 +241,9 @@ def _place(told):
         classes, width = np.full(len(word), NONE, np.uint8), 2 * len(m)
         if len(near):
             at = np.concatenate([np.repeat(np.searchsorted(word, np.frombuffer(w, "<u8")), np.frombuffer(k, "<u2")) for w, k in zip(near["words"], near["sizes"])])
-            side, n = (np.concatenate([np.frombuffer(b, kind) for b in near[name]]) for name, kind in (("sides", "<u2"), ("n", "<u4")))
+            side, n, many = (np.concatenate([np.frombuffer(b, kind) for b in near[name]]) for name, kind in (("sides", np.uint8), ("n", np.uint8), ("many", "<u4")))
+            n = n.astype(np.int64)
+            n[n == MANY] = many
             keep = count[at] >= LEAST
             entry, inverse = np.unique(at[keep] * width + side[keep], return_inverse=True)
             n = np.bincount(inverse, n[keep], len(entry))
